@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenmill.llm import exact_dedup, near_dedup
+from lumenmill.llm import exact_dedup, near_dedup, substring_dedup
 
-_MODULES = [exact_dedup, near_dedup]
+_MODULES = [exact_dedup, near_dedup, substring_dedup]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
