@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenmill.llm import exact_dedup, near_dedup, substring_dedup
+from lumenmill.llm import exact_dedup, language_id, near_dedup, quality, sentencepiece_fst, substring_dedup
 
-_MODULES = [exact_dedup, near_dedup, substring_dedup]
+_MODULES = [exact_dedup, language_id, near_dedup, substring_dedup, quality, sentencepiece_fst]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
