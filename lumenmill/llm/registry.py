@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenmill.llm import exact_dedup, language_id, mixing, near_dedup, quality, sentencepiece_fst, substring_dedup
+from lumenmill.llm import exact_dedup, html_extract, language_id, mixing, near_dedup, quality, sentencepiece_fst, substring_dedup
 
-_MODULES = [mixing, exact_dedup, language_id, near_dedup, substring_dedup, quality, sentencepiece_fst]
+_MODULES = [html_extract, mixing, exact_dedup, language_id, near_dedup, substring_dedup, quality, sentencepiece_fst]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
