@@ -11,9 +11,9 @@ Jaccard similarity of 0.75 or more; a group is a connected component of links.
 2. Documents with equal sets form a class; only its smallest id goes on.
 3. Banding: 32 bands of 4 registers. A pair at 0.75 meets in a band but for 5 in a million.
 4. Within a bucket no pairs are spelled out: members are compared with one pivot, and links are
-   confirmed on the full sets. Later rounds draw other pivots, for the buckets that still hold
-   more than one component. What is left after the last of those rounds is compared exactly: in
-   such a bucket each pair from different components that has not been compared yet.
+   confirmed on the full sets. Buckets that still hold more than one component draw another pivot.
+   Documents of buckets that are open even then are compared exactly: candidates across components
+   come from prefix filtering of their full sets, which loses no pair at the threshold.
 5. Components by union-find and star contraction, in the shared folder.
 
 Defined results: null and empty texts and those without words have an empty set and no link; a
@@ -37,7 +37,6 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 PERCENT = 75
-PIVOT_ROUNDS = 3
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +125,45 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
 
 
+def _open_buckets(buckets: DataFrame, forest: DataFrame) -> DataFrame:
+    """(bucket, class_id, root, pivot) of buckets with more than one component; the pivot is a
+    member drawn by the bucket's own key."""
+    grouped = buckets.select("bucket", "class_id").join(forest.toDF("class_id", "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    salt = F.xxhash64("bucket", F.lit(1))
+    mixed = grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.col("class_id").bitwiseXOR(salt)).alias("drawn")).filter("low <> high")
+    mixed = mixed.select("bucket", F.col("drawn").bitwiseXOR(salt).alias("pivot"))
+    return stage(grouped.join(mixed, "bucket"), "near-open")
+
+
+def _sets(batches):
+    for whole in batches:
+        for batch in textkit.blocks(whole, "text"):
+            flat, firsts = shingle_sets(*textkit.text_buffer(batch.column("text")))
+            grams = textkit.ragged(pa.array(textkit.signed(flat)), firsts)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), pa.array(np.diff(firsts)), grams], ["id", "root", "n", "grams"])
+
+
+def _prefix_pairs(opened: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that can reach the threshold, all of them: of two
+    sets that similar, the rarest n - ceil(0.75 n) + 1 shingles of each have one in common.
+    A passage that many share is common, so it is in nobody's prefix; pairs inside a component
+    are never formed."""
+    sets = texts.join(opened.toDF("id", "root"), "id").select("id", "root", "text").mapInArrow(_sets, "id long, root long, n long, grams array<long>")
+    sets = stage(sets, "near-sets")
+    flat = sets.select("id", "root", "n", F.explode("grams").alias("g"))
+    shared = flat.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    common = flat.join(shared, "g").groupBy("id", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("found"))
+    prefix = F.expr(f"n - int(({PERCENT} * n + 99) / 100) + 1")
+    left = F.greatest(prefix - (F.col("n") - F.size("found")), F.lit(0)).cast("int")  # shingles that occur once fill the prefix first
+    rare = stage(common.select("id", "root", "n", F.explode(F.slice("found", F.lit(1), left)).alias("s")).select("id", "root", "n", F.col("s.g").alias("g")), "near-prefixes")
+    groups = rare.select("g", "root").distinct()
+    meet = groups.toDF("g", "ra").join(groups.toDF("g", "rb"), "g").filter("ra < rb")
+    near = rare.select("g", F.col("root").alias("ra"), F.col("id").alias("x"), F.col("n").alias("nx")).join(meet, ["g", "ra"])
+    near = near.join(rare.select("g", F.col("root").alias("rb"), F.col("id").alias("y"), F.col("n").alias("ny")), ["g", "rb"])
+    near = near.filter(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * PERCENT)
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id, kept, class_id."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -148,24 +186,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = stage(buckets.filter("class_id <> pivot").select(F.col("pivot").alias("a"), F.col("class_id").alias("b")).distinct(), "near-pairs")
     links = stage(_linked(pairs, texts), "near-links")
     compared, forest = pairs, components(links)
-    for turn in range(1, PIVOT_ROUNDS + 1):
-        grouped = buckets.select("bucket", "class_id").join(forest.toDF("class_id", "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-        salt = F.xxhash64("bucket", F.lit(turn))
-        mixed = grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.col("class_id").bitwiseXOR(salt)).alias("drawn")).filter("low <> high")
-        mixed = mixed.select("bucket", F.col("drawn").bitwiseXOR(salt).alias("pivot"))
-        open_buckets = stage(grouped.join(mixed, "bucket"), "near-open")
-        if open_buckets.isEmpty():
-            break
-        if turn < PIVOT_ROUNDS:
-            roots = open_buckets.filter("class_id = pivot").select("bucket", F.col("root").alias("pivot_root"))
-            more = open_buckets.join(roots, "bucket").filter("root <> pivot_root").select(F.least("class_id", "pivot").alias("a"), F.greatest("class_id", "pivot").alias("b"))
-        else:  # the exact rest: pairs across components, each of which shares a band
-            left = open_buckets.select("bucket", F.col("class_id").alias("a"), F.col("root").alias("ra"))
-            right = open_buckets.select("bucket", F.col("class_id").alias("b"), F.col("root").alias("rb"))
-            more = left.join(right, "bucket").filter("a < b and ra <> rb").select("a", "b")
+
+    # Another pivot in the buckets that still hold more than one component.
+    opened = _open_buckets(buckets, forest)
+    if not opened.isEmpty():
+        roots = opened.filter("class_id = pivot").select("bucket", F.col("root").alias("pivot_root"))
+        more = opened.join(roots, "bucket").filter("root <> pivot_root").select(F.least("class_id", "pivot").alias("a"), F.greatest("class_id", "pivot").alias("b"))
         more = stage(more.distinct().join(compared, ["a", "b"], "left_anti"), "near-pairs")
         links = stage(links.union(_linked(more, texts)), "near-links")
         compared, forest = compared.union(more), components(links)
+
+        # The exact rest: documents of buckets that are open even now.
+        opened = _open_buckets(buckets, forest)
+        if not opened.isEmpty():
+            more = _prefix_pairs(opened.select("class_id", "root").distinct(), texts)
+            more = stage(more.join(compared, ["a", "b"], "left_anti"), "near-pairs")
+            links = stage(links.union(_linked(more, texts)), "near-links")
+            forest = components(links)
     found = members.select("id", "n", "class_id").join(forest.toDF("class_id", "root"), "class_id", "left")
     component = F.coalesce("root", "class_id")
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "class_id")
