@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenmill.llm import ann, exact_dedup, html_extract, language_id, mixing, near_dedup, quality, sentencepiece_fst, substring_dedup
+from lumenmill.llm import ann, exact_dedup, hpyp, html_extract, language_id, mixing, near_dedup, quality, sentencepiece_fst, substring_dedup
 
-_MODULES = [ann, html_extract, mixing, exact_dedup, language_id, near_dedup, substring_dedup, quality, sentencepiece_fst]
+_MODULES = [ann, hpyp, html_extract, mixing, exact_dedup, language_id, near_dedup, substring_dedup, quality, sentencepiece_fst]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
