@@ -14,8 +14,8 @@ tree whose nodes carry a quantifier.
    out; rows stream through in sorted order and only the wrapper is held.
 4. Roles: menus, headers, footers, asides, notices, adverts, forms, scripts, comments go by tag
    or by class and id words. If the wrapper has an article (else a main) element, that is the
-   content. Otherwise content is what varies: slots and repeats that are not mostly links;
-   constants of a host with several pages are its template.
+   content. Otherwise content is what varies: slots, optional and repeated groups that are not
+   mostly links; text that every page of a host has in the same place is its template.
 5. Each page is aligned with its host's wrapper, and the text of content nodes is written out.
 
 Wrappers go to the pages by a broadcast join while their measured size is below BROADCAST_BYTES,
@@ -240,10 +240,10 @@ class Roles:
 
     def text(self, page: list) -> str:
         out: list[str] = []
-        self._walk(page, self.top, self.root is None, False, out)
+        self._walk(page, self.top, self.root is None, False, True, out)
         return "\n".join(out)
 
-    def _walk(self, node: list, wrapper: list | None, content: bool, inner: bool, out: list[str]) -> None:
+    def _walk(self, node: list, wrapper: list | None, content: bool, inner: bool, sure: bool, out: list[str]) -> None:
         slots = wrapper[2] if wrapper else []
         at = 0
         for kid in node[1]:
@@ -254,7 +254,7 @@ class Roles:
             slot = slots[found] if found is not None else None
             at = found if found is not None and found > at else at
             if kid[0] is None:
-                if content and not (self.judge and slot and self._template(slot)):
+                if content and not (self.judge and slot and self._template(slot, sure)):
                     line = " ".join(htmllib.unescape(kid[1]).split())
                     if line:
                         out.append(line)
@@ -263,11 +263,11 @@ class Roles:
             if _is_dropped(label) and not (inner and label == "header"):
                 continue
             here = tag == self.root
-            self._walk(kid, slot, content or here, inner or here or tag in ("article", "main"), out)
+            self._walk(kid, slot, content or here, inner or here or tag in ("article", "main"), sure and slot is not None and slot[1] == "1", out)
 
-    def _template(self, slot: list) -> bool:
-        """A constant, or mostly links."""
-        return (slot[2] is not None and slot[1] in "1?") or slot[4] * 2 > slot[3]
+    def _template(self, slot: list, sure: bool) -> bool:
+        """A constant of every page, or mostly links."""
+        return (sure and slot[1] == "1" and slot[2] is not None) or slot[4] * 2 > slot[3]
 
 
 def _shapes(batches):

@@ -60,17 +60,19 @@ def _uniform(id_col: str, seed: int):
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = ALPHA, total: float = 1.0, seed: int = SEED) -> DataFrame:
     """docs' rows, each as often as it was drawn, in global random order: all columns of docs,
-    then _copy (from 1), _rate and _key (the place in the shuffle)."""
+    then _copy (from 1), _rate and _key (the place in the shuffle); a column of docs by one of
+    these names stands instead of it."""
     rates = stage(source_rates(docs, source_col, weights, alpha, total), "mixing-rates")
     steps = _with_steps(rates).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.col("cdf").alias("_cdf"))
-    joined = docs.join(steps, docs[source_col].eqNullSafe(steps["_source"]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    doc_id, source = f"_row.`{id_col}`", F.col(f"_row.`{source_col}`")
     draws = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    drawn = joined.withColumn("_u", _uniform(id_col, seed)).withColumn("_n", draws).filter("_n > 0")
+    drawn = rows.join(steps, source.eqNullSafe(F.col("_source"))).withColumn("_u", _uniform(doc_id, seed)).withColumn("_n", draws).filter("_n > 0")
     copies = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     keyed = copies.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}/"), text, F.lit("/"), F.col("_copy").cast("string"))))
     shuffled = keyed.repartition(parts(docs.sparkSession), "_key").sortWithinPartitions("_key")
-    return shuffled.select(*[docs[c] for c in docs.columns], "_copy", "_rate", "_key")
+    return shuffled.select("_row.*", *[c for c in ("_copy", "_rate", "_key") if c not in docs.columns])
 
 
 def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
