@@ -15,7 +15,7 @@ tree whose nodes carry a quantifier.
 4. Roles: menus, headers, footers, asides, notices, adverts, forms, scripts, comments go by tag
    or by class and id words. If the wrapper has an article (else a main) element, that is the
    content. Otherwise content is what varies: slots, optional and repeated groups that are not
-   mostly links; text that every page of a host has in the same place is its template.
+   mostly links; text that half of a host's pages have in the same place is its template.
 5. Each page is aligned with its host's wrapper, and the text of content nodes is written out.
 
 Wrappers go to the pages by a broadcast join while their measured size is below BROADCAST_BYTES,
@@ -147,7 +147,7 @@ def parse(page: str) -> list:
     return root
 
 
-# Wrapper nodes: [label, quantifier, children]; text leaves: ["#", quantifier, constant or None, characters, link characters]
+# Wrapper nodes: [label, quantifier, children]; text leaves: ["#", quantifier, constant or None, characters, link characters, times seen]
 
 
 def _either(p: str, q: str) -> str:
@@ -159,7 +159,7 @@ def _either(p: str, q: str) -> str:
 def _merge(a: list, b: list) -> list:
     q = _either(a[1], b[1])
     if a[0] == "#":
-        return ["#", q, a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4]]
+        return ["#", q, a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4], a[5] + b[5]]
     return [a[0], q, align(a[2], b[2])]
 
 
@@ -209,7 +209,7 @@ def _fold(nodes: list) -> list:
 
 def wrap(node: list) -> list:
     """A page's tree as a wrapper node of its own."""
-    kids = [["#", "1", " ".join(k[1].split())[:200], len(k[1]), k[2]] if k[0] is None else wrap(k) for k in node[1]]
+    kids = [["#", "1", " ".join(k[1].split())[:200], len(k[1]), k[2], 1] if k[0] is None else wrap(k) for k in node[1]]
     return [node[0], "1", _fold(kids)]
 
 
@@ -231,7 +231,7 @@ class Roles:
     """What a host's wrapper says of its pages."""
 
     def __init__(self, wrapper: list, pages: int):
-        self.top = wrapper
+        self.top, self.pages = wrapper, pages
         self.root = next((t for t in ("article", "main") if _find(wrapper[2], t)), None)
         self.judge = self.root is None and pages > 2 and self._varies(wrapper[2])
 
@@ -240,10 +240,10 @@ class Roles:
 
     def text(self, page: list) -> str:
         out: list[str] = []
-        self._walk(page, self.top, self.root is None, False, True, out)
+        self._walk(page, self.top, self.root is None, False, out)
         return "\n".join(out)
 
-    def _walk(self, node: list, wrapper: list | None, content: bool, inner: bool, sure: bool, out: list[str]) -> None:
+    def _walk(self, node: list, wrapper: list | None, content: bool, inner: bool, out: list[str]) -> None:
         slots = wrapper[2] if wrapper else []
         at = 0
         for kid in node[1]:
@@ -254,7 +254,7 @@ class Roles:
             slot = slots[found] if found is not None else None
             at = found if found is not None and found > at else at
             if kid[0] is None:
-                if content and not (self.judge and slot and self._template(slot, sure)):
+                if content and not (self.judge and slot and self._template(slot)):
                     line = " ".join(htmllib.unescape(kid[1]).split())
                     if line:
                         out.append(line)
@@ -263,11 +263,11 @@ class Roles:
             if _is_dropped(label) and not (inner and label == "header"):
                 continue
             here = tag == self.root
-            self._walk(kid, slot, content or here, inner or here or tag in ("article", "main"), sure and slot is not None and slot[1] == "1", out)
+            self._walk(kid, slot, content or here, inner or here or tag in ("article", "main"), out)
 
-    def _template(self, slot: list, sure: bool) -> bool:
-        """A constant of every page, or mostly links."""
-        return (sure and slot[1] == "1" and slot[2] is not None) or slot[4] * 2 > slot[3]
+    def _template(self, slot: list) -> bool:
+        """A constant of at least half of the pages (three at least), or mostly links."""
+        return (slot[2] is not None and slot[5] >= max(3, self.pages / 2)) or slot[4] * 2 > slot[3]
 
 
 def _shapes(batches):
