@@ -2,7 +2,7 @@
 
 ``clean_value``: HTML entities and NFKC. ``parse_timestamp``: ISO forms. ``normalise``: the whole
 normaliser, whose case-changing and cascading replacements regexp_replace cannot do; it returns
-the text, counters and an audit of dropped or kept single letters.
+the text, counters and an audit of dropped single letters.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from lumenmill.functions import fixed
 
 cloudpickle.register_pickle_by_value(lumenmill)
 
-AUDIT = "array<struct<left:string,letters:string,right:string,kept:boolean>>"
+AUDIT = "array<struct<left:string,letters:string,right:string>>"
 NORMALISED = f"struct<text:string,counters:map<string,int>,audit:{AUDIT}>"
 
 
@@ -68,12 +68,12 @@ class Normaliser:
         def put(m: re.Match) -> str:
             count["URL"] += 1
             words = [w.replace("-", " ").lower() for w in self.url_words.findall(m[0].rstrip(fixed.URL_TAIL))]
-            return f" [URL] {' '.join(words)} " if words else " [URL] "
+            return " ".join(["[URL]", *words])
 
         return self.url.sub(put, text)
 
     def _mask(self, name: str, pattern: re.Pattern, text: str, count: Counter) -> str:
-        text, n = pattern.subn(f" [{name}] ", text)
+        text, n = pattern.subn(f"[{name}]", text)
         count[name] += n
         return text
 
@@ -91,7 +91,8 @@ class Normaliser:
             right = text[m.end() : m.end() + 8]
             kept = letters in self.white or letters + right[:1] in self.white
             count["LETTER_KEPT" if kept else "LETTER_DROPPED"] += 1
-            audit.append({"left": text[max(0, m.start() - 8) : m.start()], "letters": letters, "right": right, "kept": kept})
+            if not kept:
+                audit.append({"left": text[max(0, m.start() - 8) : m.start()], "letters": m[0].strip(), "right": right})
             return f" {letters} " if kept else ""
 
         return self.between.sub(put, text)
@@ -112,7 +113,7 @@ class Normaliser:
                 text = self._mask(name, pattern, text, count)
             text = self.zh_space.sub("", " ".join(self.keep.findall(text)))
             text = self._phrase_passes(text)
-            text = " ".join(self._mask(*self.masks[2], text, count).split())
+            text = self._mask(*self.masks[2], text, count)
             text = self._joined(self.spaced, "SPACED_ACRONYM", text, count, False)
             text = self._joined(self.acronyms, "KNOWN_ACRONYM", text, count, True)
             text = self.zh_space.sub("", self._letters(text, count, audit))
