@@ -10,10 +10,11 @@ Jaccard similarity of 0.75 or more; a group is a connected component of links.
    smaller. Elements of a whole batch take each step together.
 2. Documents with equal sets form a class; only its smallest id goes on.
 3. Banding: 32 bands of 4 registers. A pair at 0.75 meets in a band but for 5 in a million.
-4. Within a bucket no pairs are spelled out: members are compared with one pivot, and links are
-   confirmed on the full sets. Buckets that still hold more than one component draw another pivot.
-   Documents of buckets that are open even then are compared exactly: candidates across components
-   come from prefix filtering of their full sets, which loses no pair at the threshold.
+4. Members of a bucket are first compared with one pivot, its smallest id; links are confirmed on
+   the full sets. Buckets whose members are by then one component are done. The others are
+   compared exactly: in small ones the pairs across components, in larger ones blocks of members,
+   in which 0/1 matrix products count the intersections of all full sets; a block sends back at
+   most a spanning forest of its links.
 5. Components by union-find and star contraction, in the shared folder.
 
 Defined results: null and empty texts and those without words have an empty set and no link; a
@@ -30,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenmill.llm import textkit
-from lumenmill.llm.common import discard, prepare, stage, table
+from lumenmill.llm.common import discard, parts, prepare, stage, table
 from lumenmill.llm.graph import components
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 PERCENT = 75
+#: Buckets up to this size are compared pair by pair; larger ones in blocks of BLOCK members.
+SMALL_BUCKET, BLOCK = 4, 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,42 +129,87 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _open_buckets(buckets: DataFrame, forest: DataFrame) -> DataFrame:
-    """(bucket, class_id, root, pivot) of buckets with more than one component; the pivot is a
-    member drawn by the bucket's own key."""
+    """(bucket, class_id, root, c) of buckets of c members that still hold more than one
+    component; of buckets with the same members one."""
     grouped = buckets.select("bucket", "class_id").join(forest.toDF("class_id", "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-    salt = F.xxhash64("bucket", F.lit(1))
-    mixed = grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.col("class_id").bitwiseXOR(salt)).alias("drawn")).filter("low <> high")
-    mixed = mixed.select("bucket", F.col("drawn").bitwiseXOR(salt).alias("pivot"))
-    return stage(grouped.join(mixed, "bucket"), "near-open")
+    sums = [F.sum(F.xxhash64("class_id", F.lit(i)).cast("decimal(38,0)")) for i in (1, 2)]
+    mixed = grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("c"), *[x.alias(f"f{i}") for i, x in enumerate(sums)]).filter("low <> high")
+    once = mixed.groupBy("c", "f0", "f1").agg(F.min("bucket").alias("bucket")).select("bucket", "c")
+    return stage(grouped.join(once, "bucket"), "near-open")
 
 
-def _sets(batches):
-    for whole in batches:
-        for batch in textkit.blocks(whole, "text"):
-            flat, firsts = shingle_sets(*textkit.text_buffer(batch.column("text")))
-            grams = textkit.ragged(pa.array(textkit.signed(flat)), firsts)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), pa.array(np.diff(firsts)), grams], ["id", "root", "n", "grams"])
-
-
-def _prefix_pairs(opened: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that can reach the threshold, all of them: of two
-    sets that similar, the rarest n - ceil(0.75 n) + 1 shingles of each have one in common.
-    A passage that many share is common, so it is in nobody's prefix; pairs inside a component
-    are never formed."""
-    sets = texts.join(opened.toDF("id", "root"), "id").select("id", "root", "text").mapInArrow(_sets, "id long, root long, n long, grams array<long>")
-    sets = stage(sets, "near-sets")
-    flat = sets.select("id", "root", "n", F.explode("grams").alias("g"))
-    shared = flat.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    common = flat.join(shared, "g").groupBy("id", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("found"))
-    prefix = F.expr(f"n - int(({PERCENT} * n + 99) / 100) + 1")
-    left = F.greatest(prefix - (F.col("n") - F.size("found")), F.lit(0)).cast("int")  # shingles that occur once fill the prefix first
-    rare = stage(common.select("id", "root", "n", F.explode(F.slice("found", F.lit(1), left)).alias("s")).select("id", "root", "n", F.col("s.g").alias("g")), "near-prefixes")
-    groups = rare.select("g", "root").distinct()
-    meet = groups.toDF("g", "ra").join(groups.toDF("g", "rb"), "g").filter("ra < rb")
-    near = rare.select("g", F.col("root").alias("ra"), F.col("id").alias("x"), F.col("n").alias("nx")).join(meet, ["g", "ra"])
-    near = near.join(rare.select("g", F.col("root").alias("rb"), F.col("id").alias("y"), F.col("n").alias("ny")), ["g", "rb"])
-    near = near.filter(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * PERCENT)
-    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _in_blocks(opened: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members with texts, dealt to every pair of blocks (i, j) of their bucket that holds their
+    block; blocks have about BLOCK members."""
+    n = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = opened.withColumn("own", F.pmod(F.xxhash64("class_id"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    placed = own.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("class_id").alias("id"), "root")
+    key = ["bucket", "i", "j"]
+    return placed.join(texts, "id").select(*key, "id", "root", "text").repartition(parts(texts.sparkSession), *key).sortWithinPartitions(*key, "id")
+
+
+def intersections(flat: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """(n, n): sizes of the intersections of sets i < j. Rare elements are counted pair by pair,
+    common ones by products of 0/1 matrices."""
+    n = len(firsts) - 1
+    out = np.zeros((n, n), dtype=np.float32)
+    doc = np.repeat(np.arange(n), np.diff(firsts))
+    order = np.argsort(flat, kind="stable")
+    values, doc = flat[order], doc[order]
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    counts = np.diff(np.concatenate([at, [len(values)]]))
+    rare = 8
+    for c in range(2, rare + 1):
+        places = at[counts == c]
+        if len(places):
+            members = doc[places[:, None] + np.arange(c)]
+            x, y = np.triu_indices(c, 1)
+            out += np.bincount((members[:, x] * n + members[:, y]).ravel(), minlength=n * n).reshape(n, n)
+    common = np.flatnonzero(counts > rare)
+    for first in range(0, len(common), 4096):
+        some = common[first : first + 4096]
+        matrix = np.zeros((n, len(some)), dtype=np.float32)
+        for column, k in enumerate(some):
+            matrix[doc[at[k] : at[k] + counts[k]], column] = 1
+        out += np.triu(matrix @ matrix.T, 1)
+    return out
+
+
+def _block_links(batches):
+    """Rows sorted by (bucket, i, j): for each of those, links between components, as a forest."""
+
+    def links(rows: list) -> pa.RecordBatch:
+        ids, roots = [r[0] for r in rows], [r[1] for r in rows]
+        flat, firsts = shingle_sets(*textkit.text_buffer(pa.array([r[2] for r in rows], pa.large_string())))
+        size = np.diff(firsts)
+        both = intersections(flat, firsts)
+        top = {r: r for r in roots}
+
+        def find(x: int) -> int:
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        out: tuple[list, list] = ([], [])
+        for i, j in zip(*np.nonzero((both > 0) & (100 * both >= PERCENT * (size[:, None] + size[None, :] - both))), strict=True):
+            x, y = find(roots[i]), find(roots[j])
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                out[0].append(ids[i])
+                out[1].append(ids[j])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+
+    key, rows = None, []
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("bucket", "i", "j", "id", "root", "text"))
+        for bucket, i, j, *row in zip(*columns, strict=True):
+            if (bucket, i, j) != key:
+                if rows:
+                    yield links(rows)
+                key, rows = (bucket, i, j), []
+            rows.append(row)
+    if rows:
+        yield links(rows)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,24 +233,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     pairs = stage(buckets.filter("class_id <> pivot").select(F.col("pivot").alias("a"), F.col("class_id").alias("b")).distinct(), "near-pairs")
     links = stage(_linked(pairs, texts), "near-links")
-    compared, forest = pairs, components(links)
-
-    # Another pivot in the buckets that still hold more than one component.
+    forest = components(links)
     opened = _open_buckets(buckets, forest)
     if not opened.isEmpty():
-        roots = opened.filter("class_id = pivot").select("bucket", F.col("root").alias("pivot_root"))
-        more = opened.join(roots, "bucket").filter("root <> pivot_root").select(F.least("class_id", "pivot").alias("a"), F.greatest("class_id", "pivot").alias("b"))
-        more = stage(more.distinct().join(compared, ["a", "b"], "left_anti"), "near-pairs")
-        links = stage(links.union(_linked(more, texts)), "near-links")
-        compared, forest = compared.union(more), components(links)
-
-        # The exact rest: documents of buckets that are open even now.
-        opened = _open_buckets(buckets, forest)
-        if not opened.isEmpty():
-            more = _prefix_pairs(opened.select("class_id", "root").distinct(), texts)
-            more = stage(more.join(compared, ["a", "b"], "left_anti"), "near-pairs")
-            links = stage(links.union(_linked(more, texts)), "near-links")
-            forest = components(links)
+        few = opened.filter(F.col("c") <= SMALL_BUCKET).select("bucket", "class_id", "root")
+        other = few.toDF("bucket", "b", "rb")
+        more = few.toDF("bucket", "a", "ra").join(other, "bucket").filter("a < b and ra <> rb").select("a", "b").distinct()
+        more = stage(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+        blocks = _in_blocks(opened.filter(F.col("c") > SMALL_BUCKET), texts)
+        links = stage(links.union(_linked(more, texts)).union(blocks.mapInArrow(_block_links, "a long, b long")), "near-links")
+        forest = components(links)
     found = members.select("id", "n", "class_id").join(forest.toDF("class_id", "root"), "class_id", "left")
     component = F.coalesce("root", "class_id")
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "class_id")

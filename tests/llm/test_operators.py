@@ -102,7 +102,8 @@ def test_near_dedup(spark, seed):
         assert sorted((str(r.doc_id), r.component_id) for r in odd) == [("1", 1), ("1", 1), ("None", 1)]
 
 
-def test_prefix_pairs_lose_nothing(spark):
+def test_blocks_lose_nothing(spark, monkeypatch):
+    """A family most of whose members are just not similar enough, in one bucket of many blocks."""
     rng = random.Random(5)
     base = words(rng, 60).split()
     rows = []
@@ -111,14 +112,25 @@ def test_prefix_pairs_lose_nothing(spark):
         for _ in range(rng.randrange(1, 5)):
             w[rng.randrange(60)] = f"z{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
-    texts = spark.createDataFrame(rows, "id long, text string")
-    opened = spark.createDataFrame([(i, i) for i, _ in rows], "class_id long, root long")
-    got = {(r.a, r.b) for r in near_dedup._prefix_pairs(opened, texts).collect()}
     sets = {i: shingles(t) for i, t in rows}
-    need = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
-    assert need and need <= got
-    linked = {(r.a, r.b) for r in near_dedup._linked(spark.createDataFrame(sorted(got), "a long, b long"), texts).collect()}
-    assert linked == need
+    need = groups_of(rows)
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    opened = spark.createDataFrame([(1, i, i, 40) for i, _ in rows], "bucket long, class_id long, root long, c long")
+    texts = spark.createDataFrame(rows, "id long, text string")
+    got = near_dedup._in_blocks(opened, texts).mapInArrow(near_dedup._block_links, "a long, b long").collect()
+    root = {i: i for i in sets}
+    for r in got:
+        assert 100 * len(sets[r.a] & sets[r.b]) >= 75 * len(sets[r.a] | sets[r.b])
+        low, high = sorted((root[r.a], root[r.b]))
+        root = {i: low if x == high else x for i, x in root.items()}
+    assert root == {i: c for i, (_, c) in need.items()} and len(set(root.values())) > 1
+
+
+def test_intersections():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(15)] + [np.zeros(0, np.uint64)]
+    got = near_dedup.intersections(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(16) for j in range(i + 1, 16))
 
 
 def test_super_minhash_estimates_similarity():
