@@ -112,7 +112,11 @@ def length_bucket(n: Column) -> Column:
 
 def token_stats(df: DataFrame) -> DataFrame:
     """One row over (record_id, tokens): records, tokens, empties, each placeholder's count."""
-    each = [F.sum(F.size(F.filter("tokens", lambda t, p=p: t == p))).alias(p.strip("[]").lower()) for p in fixed.PLACEHOLDERS]
+
+    def times(placeholder: str) -> Column:
+        return F.sum(F.size(F.filter("tokens", lambda t: t == placeholder))).alias(placeholder.strip("[]").lower())
+
+    each = [times(p) for p in fixed.PLACEHOLDERS]
     return df.agg(F.count(F.lit(1)).alias("records"), F.sum(F.size("tokens")).alias("tokens"), F.count_if(F.size("tokens") == 0).alias("empty"), *each)
 
 

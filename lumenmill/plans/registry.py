@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from lumenmill.plans import classify
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _m in (classify,):
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
