@@ -16,14 +16,16 @@ from datetime import datetime
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import lumenmill
 from lumenmill.functions import fixed
 
 cloudpickle.register_pickle_by_value(lumenmill)
 
-AUDIT = "array<struct<left:string,letters:string,right:string>>"
-NORMALISED = f"struct<text:string,counters:map<string,int>,audit:{AUDIT}>"
+_TEXT = T.StringType()
+AUDIT = T.ArrayType(T.StructType([T.StructField(n, _TEXT) for n in ("left", "letters", "right")]))
+NORMALISED = T.StructType([T.StructField("text", _TEXT), T.StructField("counters", T.MapType(_TEXT, T.IntegerType())), T.StructField("audit", AUDIT)])
 
 
 def clean_text(value: str) -> str:
@@ -127,8 +129,8 @@ def _on_each(function):
     return run
 
 
-clean_value = F.pandas_udf(_on_each(clean_text), "string")
-parse_timestamp = F.pandas_udf(_on_each(iso_text), "string")
+clean_value = F.pandas_udf(_on_each(clean_text), _TEXT)
+parse_timestamp = F.pandas_udf(_on_each(iso_text), _TEXT)
 
 
 def _normalise(subject: bool):

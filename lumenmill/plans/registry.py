@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lumenmill.plans import classify
+from lumenmill.plans import classify, corpus
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _m in (classify,):
+for _m in (classify, corpus):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
