@@ -209,7 +209,7 @@ ORACLES = {
     "concat_fields": f"SELECT doc_id, concat_ws(' | ', nullif(trim(lang), ''), nullif(trim(source), ''), nullif(regexp_replace(text, {_ws[:-2] + '+$' + chr(39)}, ''), '')) AS joined FROM documents",
     "payload_rows": f"SELECT id, coalesce(trim(subject) <> '', false) OR coalesce(trim(rep) <> '', false) AS payload FROM {INLINE}",
     "preview": f"WITH f AS (SELECT doc_id, text, trim(regexp_replace(text, {_ws}, ' ', 'g')) AS flat FROM documents) SELECT doc_id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS preview, CASE WHEN length(flat) > 80 THEN flat[1:77] || '...' ELSE flat END AS short FROM f",
-    "sheet_cells": r"WITH f AS (SELECT doc_id, length(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS n FROM documents) SELECT doc_id, (CASE WHEN n > 32767 THEN 32768 ELSE n END)::INTEGER AS cell FROM f",
+    "sheet_cells": r"WITH f AS (SELECT doc_id, length(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS n FROM documents) SELECT doc_id, (CASE WHEN n > 32767 THEN 32767 ELSE n END)::INTEGER AS cell FROM f",
     "text_length_stats": f"WITH l AS (SELECT length(text) AS len FROM documents WHERE text IS NOT NULL), o AS (SELECT len, row_number() OVER (ORDER BY len) AS r FROM l), s AS (SELECT count(*) AS n, min(len)::INTEGER AS min, max(len)::INTEGER AS max, round(avg(len), 4) AS avg FROM l) SELECT n, min, max, avg, {_percentile(0.5)}::INTEGER AS p50, {_percentile(0.9)}::INTEGER AS p90, {_percentile(0.99)}::INTEGER AS p99 FROM s",
     "mask_email": f"SELECT doc_id, sha256(regexp_replace(text, {q(fixed.EMAIL)}, '[EMAIL]', 'g')) AS masked_sha FROM documents",
     "placeholder_counts": f"SELECT sum(len(regexp_extract_all(text, {q(fixed.EMAIL)})))::BIGINT AS emails, count(*) FILTER (regexp_matches(text, {q(fixed.EMAIL)})) AS rows FROM documents",
