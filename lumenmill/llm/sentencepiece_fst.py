@@ -101,10 +101,14 @@ class Transducer:
             raise ValueError("only unigram and BPE models with the identity normaliser are supported")
         self.prefix = bool(normaliser.get(3, 1))
         self.longest = max(map(len, self.ids))
+        self.texts = {i: p for p, i in self.ids.items()}
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("a piece spans words")
+        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p))}
+        self._known: dict[str, list[int]] = {}
         self.unknown = 10.0 - min(self.scores.values())  # the library's penalty below the worst piece
-        self._stable: dict[tuple[str, str], bool] = {}
+        self._stable: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[str]:
         """Greedy merging, best score first and leftmost of equals: what stability means."""
@@ -120,26 +124,31 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stable(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self._stable.get(key)
-        if known is None:
-            if len(self._stable) > 2 * MEMO:
-                self._stable.clear()
-            known = self._stable[key] = self.merge(left + right) == ([left, right] if left else [right])
+    def _is_stable(self, left: int, right: int) -> bool:
+        """Whether piece right may follow piece left (-1: at the start)."""
+        if len(self._stable) > 4 * MEMO:
+            self._stable.clear()
+        texts = [self.texts[right]] if left < 0 else [self.texts[left], self.texts[right]]
+        known = self._stable[left << 20 | right] = self.merge("".join(texts)) == texts
         return known
 
     def path(self, unit: str) -> tuple[int, ...]:
         """Ids on the shortest path through the lattice of one unit (spaces are U+2581)."""
         if not self.bpe:
             return self._relaxed(unit)
-        out, at = [], 0
-        for i, char in enumerate(unit):
-            if char not in self.ids:  # no arc but byte fallback crosses it
-                out += self._only_path(unit[at:i])
-                out += self._bytes(char)
-                at = i + 1
-        return tuple(out + self._only_path(unit[at:]))
+        out, at, known = [], 0, self._known
+        for i in range(1, len(unit) + 1):  # where no piece has the two characters side by side, paths part
+            if i < len(unit) and unit[i - 1 : i + 1] in self.pairs:
+                continue
+            part = unit[at:i]
+            found = known.get(part)
+            if found is None:
+                if len(known) >= MEMO:
+                    known.clear()
+                found = known[part] = self._only_path(part) if part[0] in self.ids else self._bytes(part)
+            out += found
+            at = i
+        return tuple(out)
 
     def _bytes(self, char: str) -> list[int]:
         return [self.byte_ids[b] if self.byte_ids[b] >= 0 else self.unk for b in char.encode()]
@@ -147,25 +156,35 @@ class Transducer:
     def _only_path(self, unit: str) -> list[int]:
         """With stable neighbours there is one path, so it is the shortest: arcs are followed
         longest first, and states that don't reach the end are remembered."""
-        n, ids, known = len(unit), self.ids, self._stable
-        ends: list[list[int] | None] = [None] * n
-        dead, trail, at, last, k = set(), [], 0, "", 0
+        n, ids, prefixes, known = len(unit), self.ids, self.prefixes, self._stable
+        if unit in ids and self._is_stable(-1, ids[unit]):
+            return [ids[unit]]
+        ends: list[list[tuple[int, int]] | None] = [None] * n
+        dead, trail, at, last, k = set(), [], 0, -1, 0
         while at < n:
             arcs = ends[at]
             if arcs is None:
-                arcs = ends[at] = [j for j in range(min(n, at + self.longest), at, -1) if unit[at:j] in ids]
+                arcs = ends[at] = []
+                for j in range(at + 1, n + 1):
+                    piece = unit[at:j]
+                    if piece in ids:
+                        arcs.append((j, ids[piece]))
+                    if piece not in prefixes:
+                        break
+                arcs.reverse()
             for k in range(k, len(arcs)):
-                j = arcs[k]
-                piece = unit[at:j]
-                pair = (last, piece)
-                if (j, piece) not in dead and (known[pair] if pair in known else self.stable(last, piece)):
+                j, piece = arcs[k]
+                good = known.get(last << 20 | piece)
+                if good is None:
+                    good = self._is_stable(last, piece)
+                if good and not (dead and (j, piece) in dead):
                     trail.append((at, last, k + 1))
                     at, last, k = j, piece, 0
                     break
             else:
                 dead.add((at, last))
                 at, last, k = trail.pop()
-        return [ids[last] for _, last, _ in trail[1:]] + [ids[last]] if n else []
+        return [last for _, last, _ in trail[1:]] + [last] if n else []
 
     def _relaxed(self, unit: str) -> tuple[int, ...]:
         """Shortest path by relaxing all arcs from left to right."""
