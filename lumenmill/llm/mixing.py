@@ -35,9 +35,9 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: dict[str,
     else:
         given = F.create_map(*[F.lit(v) for item in weights.items() for v in item]) if weights else F.lit(None)
         weighed = counts.withColumn("weight", F.coalesce(given[F.col("source")] if weights else F.lit(0.0), F.lit(0.0)))
-    sums = weighed.agg(F.sum("n").alias("rows"), F.sum("weight").alias("weights"))
-    rate = F.when(F.col("weights") > 0, F.round(F.col("weight") / F.col("weights") * F.col("rows") * F.lit(total) / F.col("n"), 9)).otherwise(0.0)
-    rated = weighed.crossJoin(F.broadcast(sums)).select("source", "n", rate.alias("rate"))  # sums is one row
+    rows, weight = weighed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    rate = F.round(F.col("weight") / float(weight) * float(rows) * float(total) / F.col("n"), 9) if weight else F.lit(0.0)
+    rated = weighed.select("source", "n", rate.alias("rate"))
     return rated.withColumn("rate", F.when(F.col("rate") <= 700, F.col("rate")).otherwise(F.raise_error(F.lit("a repetition rate is above 700"))))
 
 
