@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenmill.llm import textkit
 from lumenmill.llm.common import parts, prepare, stage, table
 
 K = 5
