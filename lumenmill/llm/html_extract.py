@@ -12,10 +12,11 @@ tree whose nodes carry a quantifier.
    subsequence; what only one side has becomes optional, adjacent equals become repeats. A host's
    rows are first merged in salted buckets, so that a host with a third of all pages is shared
    out; rows stream through in sorted order and only the wrapper is held.
-4. Roles: menus, headers, footers, asides, notices, adverts, forms, scripts, comments go by tag
-   or by class and id words. If the wrapper has an article (else a main) element, that is the
-   content. Otherwise content is what varies: slots, optional and repeated groups that are not
-   mostly links; text that half of a host's pages have in the same place is its template.
+4. Roles, page by page: menus, headers, footers, asides, notices, adverts, forms, scripts,
+   comments go by tag or by class and id words. If the page has article (else main) elements with
+   at least half of its varying text, they are its content, less the host's template: text that
+   half of its pages have in the same place. On any other page content is what varies: slots,
+   optional and repeated groups that are not mostly links and not template.
 5. Each page is aligned with its host's wrapper, and the text of content nodes is written out.
 
 Wrappers go to the pages by a broadcast join while their measured size is below BROADCAST_BYTES,
@@ -156,21 +157,22 @@ def _either(p: str, q: str) -> str:
     return "*" if many and none else "+" if many else "?" if none else "1"
 
 
-def _merge(a: list, b: list) -> list:
+def _merge(a: list, b: list, times=int.__add__) -> list:
+    """One node for both. times: how often its texts are seen; repeats on one page are seen once."""
     q = _either(a[1], b[1])
     if a[0] == "#":
-        return ["#", q, a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4], a[5] + b[5]]
-    return [a[0], q, align(a[2], b[2])]
+        return ["#", q, a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4], times(a[5], b[5])]
+    return [a[0], q, align(a[2], b[2], times)]
 
 
 def _optional(node: list) -> list:
     return [node[0], "*" if node[1] in "+*" else "?", *node[2:]]
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, times=int.__add__) -> list:
     """Two lists of wrapper nodes to one that covers both."""
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [_merge(x, y) for x, y in zip(a, b, strict=True)]
+        return [_merge(x, y, times) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -179,7 +181,7 @@ def align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(_merge(a[i], b[j]))
+            out.append(_merge(a[i], b[j], times))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             out.append(_optional(a[i]))
@@ -195,13 +197,13 @@ def _fold(nodes: list) -> list:
     out: list = []
     for node in nodes:
         if out and out[-1][0] == node[0] and node[0] != "#":
-            out[-1] = _merge(out[-1], node)
+            out[-1] = _merge(out[-1], node, max)
             out[-1][1] = "*" if out[-1][1] in "?*" and node[1] in "?*" else "+"
         else:
             out.append(node)
         for k in (2, 3):
             if len(out) >= 2 * k and [x[0] for x in out[-k:]] == [x[0] for x in out[-2 * k : -k]]:
-                both = [_merge(x, y) for x, y in zip(out[-2 * k : -k], out[-k:], strict=True)]
+                both = [_merge(x, y, max) for x, y in zip(out[-2 * k : -k], out[-k:], strict=True)]
                 out[-2 * k :] = [[x[0], _either(x[1], "+"), *x[2:]] for x in both]
                 break
     return out
@@ -223,8 +225,22 @@ def _is_dropped(label: str) -> bool:
     return tag in DROP_TAGS or (bool(words) and not DROP_WORDS.isdisjoint(words.split(".")))
 
 
-def _find(nodes: list, tag: str) -> bool:
-    return any(x[0] != "#" and not _is_dropped(x[0]) and (x[0].partition(".")[0] == tag or _find(x[2], tag)) for x in nodes)
+def _has(node: list, tag: str) -> bool:
+    """Whether a page's node has such an element below it, outside of dropped ones."""
+    return any(k[0] is not None and not _is_dropped(k[0]) and (k[0].partition(".")[0] == tag or _has(k, tag)) for k in node[1])
+
+
+def _aligned(node: list, wrapper: list | None):
+    """A page node's children, each with its node in the wrapper or None."""
+    slots = wrapper[2] if wrapper else []
+    at = 0
+    for kid in node[1]:
+        label = "#" if kid[0] is None else kid[0]
+        found = next((k for k in range(at, len(slots)) if slots[k][0] == label), None)
+        if found is None:
+            found = next((k for k in range(at) if slots[k][0] == label), None)
+        at = found if found is not None and found > at else at
+        yield kid, slots[found] if found is not None else None
 
 
 class Roles:
@@ -232,42 +248,61 @@ class Roles:
 
     def __init__(self, wrapper: list, pages: int):
         self.top, self.pages = wrapper, pages
-        self.root = next((t for t in ("article", "main") if _find(wrapper[2], t)), None)
-        self.judge = self.root is None and pages > 2 and self._varies(wrapper[2])
+        self.judge = pages > 2 and self._varies(wrapper[2])
 
     def _varies(self, nodes: list) -> bool:
         return any(x[2] is None if x[0] == "#" else not _is_dropped(x[0]) and self._varies(x[2]) for x in nodes)
 
     def text(self, page: list) -> str:
         out: list[str] = []
-        self._walk(page, self.top, self.root is None, False, out)
+        root = self._root(page)
+        self._walk(page, self.top, root, root is None, False, out)
         return "\n".join(out)
 
-    def _walk(self, node: list, wrapper: list | None, content: bool, inner: bool, out: list[str]) -> None:
-        slots = wrapper[2] if wrapper else []
-        at = 0
-        for kid in node[1]:
-            label = "#" if kid[0] is None else kid[0]
-            found = next((k for k in range(at, len(slots)) if slots[k][0] == label), None)
-            if found is None:
-                found = next((k for k in range(at) if slots[k][0] == label), None)
-            slot = slots[found] if found is not None else None
-            at = found if found is not None and found > at else at
+    def _root(self, page: list) -> str | None:
+        """The tag of the page's content elements; None if the whole page is to be judged."""
+        root = next((t for t in ("article", "main") if _has(page, t)), None)
+        if root and self.judge:
+            inside, outside = self._sizes(page, self.top, root, False)
+            if inside < outside:
+                return None
+        return root
+
+    def _sizes(self, node: list, wrapper: list | None, root: str, inner: bool) -> tuple[int, int]:
+        """Characters of text, in no link and no template, inside and outside of root elements."""
+        inside = outside = 0
+        for kid, slot in _aligned(node, wrapper):
             if kid[0] is None:
-                if content and not (self.judge and slot and self._template(slot)):
+                if not (slot and self._constant(slot)):
+                    n = len(kid[1].strip()) - kid[2]
+                    inside, outside = (inside + n, outside) if inner else (inside, outside + n)
+            elif not _is_dropped(kid[0]):
+                a, b = self._sizes(kid, slot, root, inner or kid[0].partition(".")[0] == root)
+                inside, outside = inside + a, outside + b
+        return inside, outside
+
+    def _walk(self, node: list, wrapper: list | None, root: str | None, content: bool, inner: bool, out: list[str]) -> None:
+        for kid, slot in _aligned(node, wrapper):
+            if kid[0] is None:
+                if content and not (self.judge and slot and self._template(slot, inner)):
                     line = " ".join(htmllib.unescape(kid[1]).split())
                     if line:
                         out.append(line)
                 continue
+            label = kid[0]
             tag = label.partition(".")[0]
             if _is_dropped(label) and not (inner and label == "header"):
                 continue
-            here = tag == self.root
-            self._walk(kid, slot, content or here, inner or here or tag in ("article", "main"), out)
+            here = tag == root
+            self._walk(kid, slot, root, content or here, inner or here or tag in ("article", "main"), out)
+
+    def _constant(self, slot: list) -> bool:
+        """The same text on at least half of the pages (three at least)."""
+        return slot[2] is not None and slot[5] >= max(3, self.pages / 2)
 
-    def _template(self, slot: list) -> bool:
-        """A constant of at least half of the pages (three at least), or mostly links."""
-        return (slot[2] is not None and slot[5] >= max(3, self.pages / 2)) or slot[4] * 2 > slot[3]
+    def _template(self, slot: list, inner: bool) -> bool:
+        """A constant, or mostly links where no article or main says that it is content."""
+        return self._constant(slot) or (not inner and slot[4] * 2 > slot[3])
 
 
 def _shapes(batches):
