@@ -29,6 +29,7 @@ empty text. Block elements (cells and list items too) make lines; ``<br>`` is wh
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import json
 import re
@@ -209,9 +210,15 @@ def _fold(nodes: list) -> list:
     return out
 
 
+def _exact(text: str) -> str:
+    """A leaf's constant: its text, white space aside; of a long one the length and a hash of all of it."""
+    text = " ".join(text.split())
+    return text if len(text) <= 64 else f"{len(text)} {hashlib.blake2b(text.encode(errors='replace'), digest_size=16).hexdigest()}"
+
+
 def wrap(node: list) -> list:
     """A page's tree as a wrapper node of its own."""
-    kids = [["#", "1", " ".join(k[1].split())[:200], len(k[1]), k[2], 1] if k[0] is None else wrap(k) for k in node[1]]
+    kids = [["#", "1", _exact(k[1]), len(k[1]), k[2], 1] if k[0] is None else wrap(k) for k in node[1]]
     return [node[0], "1", _fold(kids)]
 
 

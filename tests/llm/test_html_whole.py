@@ -46,3 +46,14 @@ def test_the_wrapper_is_asked_where_an_article_is(spark):
         rows.append((i, f"http://e.example/{i}", f"<article><p>t{i}</p>{echo}</article>"))
         want[i] = f"t{i}" + "\necho" * (3 if i == 20 else 0)
     assert texts(spark, rows) == want
+
+
+def test_texts_that_only_start_alike_are_no_template(spark):
+    rng, rows, want = random.Random(3), [], {}
+    lead = "LONDON (Agency) " + words(rng, 60)
+    for i in range(8):
+        body = f"{lead} {words(rng, 5)}"
+        rows.append((i, f"http://h.example/{i}", f"<body><div><p>{lead}</p></div><div class=content><h2>{words(rng, 3)}</h2><p>{body}</p></div></body>"))
+        want[i] = body
+    got = texts(spark, rows)
+    assert {i: t.split("\n")[-1] for i, t in got.items()} == want and all(len(t.split("\n")) == 2 for t in got.values())
