@@ -13,7 +13,9 @@ tree whose nodes carry a quantifier.
    rows are first merged in salted buckets, so that a host with a third of all pages is shared
    out; rows stream through in sorted order and only the wrapper is held.
 4. Roles, page by page: menus, headers, footers, asides, notices, adverts, forms, scripts,
-   comments go by tag or by class and id words. If the page has article (else main) elements with
+   comments go by tag or by whole class and id names (``share-box``, but not ``no-sidebar``);
+   never html, body, main or article by name, nor a node that holds the page's only article or
+   main, nor, by name or as a form, one with most of the varying text. If the page has article (else main) elements with
    at least half of its varying text, they are its content, less the host's template: text that
    half of its pages have in the same place. On any other page content is what varies: slots,
    optional and repeated groups that are not mostly links and not template.
@@ -29,6 +31,7 @@ empty text. Block elements (cells and list items too) make lines; ``<br>`` is wh
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as htmllib
 import json
@@ -49,17 +52,33 @@ BLOCK = frozenset("html body head title address article aside blockquote center
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROP_TAGS = frozenset("head title nav header footer aside form menu select dialog button noscript iframe object svg template canvas audio video textarea datalist map search".split())
 DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar toolbar cookie cookies consent notice alert popup modal overlay comment comments respond disqus share sharing social related recommended recommendations subscribe newsletter signup login search pagination pager widget copyright skip".split())
+# Words that may stand beside those in a name: share-box, top-menu, ad-slot-left.
+PLAIN_WORDS = frozenset("area bar block body bottom box button buttons container content group icon icons inner item items left links list main outer panel primary right secondary section site slot small top unit wrap wrapper zone".split())
+NEVER = frozenset("html body main article".split())
 RAW = "script|style|noscript|template|iframe|svg|canvas|object|textarea|select|video|audio|math"
 CLOSES = {  # a start tag of the key ends an open element of the value
     "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "tbody thead tr td th", "tfoot": "tbody thead tr td th", "body": "head title",
 }
 SCOPES = frozenset("ul ol dl table article section div td th body html main aside nav header footer form blockquote".split())
 
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>?|([^<]+|<)""", re.S | re.I)
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?:{RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*(?<=[\s"'\w])/>|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>?|([^<]+|<)""", re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 
+@functools.lru_cache(1 << 14)
+def _name(name: str) -> str:
+    """A class, id or role name without what is no letter: post-123 is post."""
+    return "-".join(_WORDS.findall(name.lower()))
+
+
+@functools.lru_cache(1 << 14)
+def _says_drop(name: str) -> bool:
+    """Whether a whole name is one of DROP_WORDS, be it with plain words beside it."""
+    words = set(name.split("-"))
+    return not words.isdisjoint(DROP_WORDS) and words <= DROP_WORDS | PLAIN_WORDS
+
+
 def parse(page: str) -> list:
     """The page's tree: nodes are [label, children], leaves are [None, text, link characters]."""
     root = ["", []]
@@ -112,7 +131,7 @@ def parse(page: str) -> list:
         attributes = m[4]
         words = ""
         if "=" in attributes and _NAMES.search(attributes):
-            words = ".".join(sorted({w for a in _NAMES.findall(attributes) for w in _WORDS.findall(a.lower())}))
+            words = ".".join(sorted({w for a in _NAMES.findall(attributes) for w in map(_name, a.strip("\"'").split()) if w}))
         if name in BLOCK:
             flush()
             if ends := CLOSES.get(name):
@@ -141,7 +160,7 @@ def parse(page: str) -> list:
                 inline.append(" " if name == "br" else "")
         elif name == "a":
             in_link = 1
-        elif (words and not DROP_WORDS.isdisjoint(words.split("."))) or name in DROP_TAGS:
+        elif any(map(_says_drop, words.split("."))) or name in DROP_TAGS:
             if not attributes.rstrip().endswith("/"):
                 hides.append(name)
                 hidden = len(hides)
@@ -227,14 +246,29 @@ def shape(node: list) -> str:
     return "#" if node[0] == "#" else f"{node[0]}{node[1]}({' '.join(map(shape, node[2]))})"
 
 
+@functools.lru_cache(1 << 14)
 def _is_dropped(label: str) -> bool:
-    tag, _, words = label.partition(".")
-    return tag in DROP_TAGS or (bool(words) and not DROP_WORDS.isdisjoint(words.split(".")))
+    tag, _, names = label.partition(".")
+    return tag in DROP_TAGS or (tag not in NEVER and any(map(_says_drop, names.split("."))))
+
+
+@functools.lru_cache(1 << 14)
+def _may_hold(label: str) -> bool:
+    """Whether a dropped node can be opened for most of the text: not by its tag, unless a form."""
+    tag = label.partition(".")[0]
+    return tag not in DROP_TAGS or tag == "form"
 
 
-def _has(node: list, tag: str) -> bool:
-    """Whether a page's node has such an element below it, outside of dropped ones."""
-    return any(k[0] is not None and not _is_dropped(k[0]) and (k[0].partition(".")[0] == tag or _has(k, tag)) for k in node[1])
+def _has(node: list, tag: str, dropped: bool = False) -> bool:
+    """Whether a page's node has such an element below it: outside of dropped ones, or anywhere if
+    its own names don't speak against it."""
+    for k in node[1]:
+        if k[0] is None or not (dropped or not _is_dropped(k[0])):
+            continue
+        name, _, names = k[0].partition(".")
+        if (name == tag and not (dropped and any(map(_says_drop, names.split("."))))) or _has(k, tag, dropped):
+            return True
+    return False
 
 
 def _aligned(node: list, wrapper: list | None):
@@ -262,33 +296,34 @@ class Roles:
 
     def text(self, page: list) -> str:
         out: list[str] = []
-        root = self._root(page)
-        self._walk(page, self.top, root, root is None, False, out)
-        return "\n".join(out)
-
-    def _root(self, page: list) -> str | None:
-        """The tag of the page's content elements; None if the whole page is to be judged."""
         root = next((t for t in ("article", "main") if _has(page, t)), None)
+        # an article inside a dropped node counts if there is none outside
+        hidden = None if root else next((t for t in ("article", "main") if _has(page, t, True)), None)
         if root and self.judge:
             inside, outside = self._sizes(page, self.top, root, False)
             if inside < outside:
-                return None
-        return root
+                root = None
+        self._walk(page, self.top, root, hidden, self._all(page, root), root is None, False, out)
+        return "\n".join(out)
+
+    def _all(self, page: list, root: str | None):
+        """Characters of varying text in scope, counted when first asked for."""
+        return functools.cache(lambda: sum(self._sizes(page, self.top, root, root is None, True)[:1]))
 
-    def _sizes(self, node: list, wrapper: list | None, root: str, inner: bool) -> tuple[int, int]:
-        """Characters of text, in no link and no template, inside and outside of root elements."""
+    def _sizes(self, node: list, wrapper: list | None, root: str | None, inner: bool, dropped: bool = False) -> tuple[int, int]:
+        """Characters of text, in no link and no constant, inside and outside of root elements."""
         inside = outside = 0
         for kid, slot in _aligned(node, wrapper):
             if kid[0] is None:
-                if not (slot and self._constant(slot)):
+                if not (slot and self.judge and self._constant(slot)):
                     n = len(kid[1].strip()) - kid[2]
                     inside, outside = (inside + n, outside) if inner else (inside, outside + n)
-            elif not _is_dropped(kid[0]):
-                a, b = self._sizes(kid, slot, root, inner or kid[0].partition(".")[0] == root)
+            elif not _is_dropped(kid[0]) or (dropped and _may_hold(kid[0])):
+                a, b = self._sizes(kid, slot, root, inner or kid[0].partition(".")[0] == root, dropped)
                 inside, outside = inside + a, outside + b
         return inside, outside
 
-    def _walk(self, node: list, wrapper: list | None, root: str | None, content: bool, inner: bool, out: list[str]) -> None:
+    def _walk(self, node: list, wrapper: list | None, root: str | None, hidden: str | None, most, content: bool, inner: bool, out: list[str]) -> None:
         for kid, slot in _aligned(node, wrapper):
             if kid[0] is None:
                 if content and not (self.judge and slot and self._template(slot, inner)):
@@ -299,9 +334,13 @@ class Roles:
             label = kid[0]
             tag = label.partition(".")[0]
             if _is_dropped(label) and not (inner and label == "header"):
-                continue
+                if hidden and tag not in ("head", "template") and _has(kid, hidden, True):
+                    self._walk(kid, slot, hidden, hidden, most, False, False, out)
+                    continue
+                if not (content and _may_hold(label) and 2 * self._sizes(kid, slot, None, True, True)[0] > most()):
+                    continue
             here = tag == root
-            self._walk(kid, slot, root, content or here, inner or here or tag in ("article", "main"), out)
+            self._walk(kid, slot, root, hidden, most, content or here, inner or here or tag in ("article", "main"), out)
 
     def _constant(self, slot: list) -> bool:
         """The same text on at least half of the pages (three at least)."""

@@ -57,3 +57,20 @@ def test_texts_that_only_start_alike_are_no_template(spark):
         want[i] = body
     got = texts(spark, rows)
     assert {i: t.split("\n")[-1] for i, t in got.items()} == want and all(len(t.split("\n")) == 2 for t in got.values())
+
+
+def test_names_that_only_contain_a_drop_word_lose_nothing(spark):
+    pages = {
+        "<body class='no-sidebar'><p>a</p></body>": "a",
+        "<body class='single comments-open'><p>b</p></body>": "b",
+        "<body class='login'><div class='page-with-sidebar'><p>c</p></div></body>": "c",
+        "<article class='post share-enabled'><div class='article-header'><h1>T</h1></div><p>d</p></article>": "T\nd",
+        "<article class='post promo'><p>the whole of it</p><div class='share-box'>Share</div><div id='ad-7'>Buy</div></article>": "the whole of it",
+        "<div class='sidebar'><article><p>f</p></article><p>menu</p></div><p>x</p>": "f\nx",
+        "<form id='aspnet'><div class='wrap'><p>all of the text is here</p></div></form><p>y</p>": "all of the text is here\ny",
+        "<div class='widget'><p>most of the text is here</p></div><div class='ad'>Buy</div><p>z</p>": "most of the text is here\nz",
+        "<p>g <svg width='1'/> h</p><p>i</p><svg><text>no</text></svg><iframe src=a /><p>j</p>": "g h\ni\nj",
+        "<p>k</p><svg><path d='M0'/></svg><p>l</p><div id=comments><article class='comment-body'>nice</article></div><p>and so on</p>": "k\nl\nand so on",
+    }
+    got = texts(spark, [(i, f"http://h{i}.example/", page) for i, page in enumerate(pages)])
+    assert [got[i] for i in range(len(pages))] == list(pages.values())
