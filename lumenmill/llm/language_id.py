@@ -3,8 +3,11 @@
 Texts become TF-IDF vectors of hashed byte 2-, 3- and 4-grams (A-Z lower-cased, other ASCII
 non-letters as one space class), normalised. Each language's training vectors are clustered by
 spherical k-means into CENTROIDS centroids; a text takes the language of the centroid with the
-largest cosine. It is rejected if that distance is far beyond the training distances of the
-language, or if it has no letter.
+largest cosine. It is rejected if it has no letter, or if that cosine is below REJECT of the
+language's low quantile: that of the cosines of training rows to centroids of the language's
+other half of rows. Texts under FULL bytes have fewer grams to match, so their limit is less in
+proportion; strings of a few letters, and short runs of digits and letters, can't be told from
+words that way and stay.
 
 The classifier is fitted on a sample of about SAMPLE rows of each language, drawn by hash of the
 id; that bound is a parameter. Only sparse vectors of the sample reach the driver. Predictions
@@ -24,11 +27,16 @@ from pyspark.sql import functions as F
 from lumenmill.llm import textkit
 from lumenmill.llm.common import prepare, remainder, table
 
-DIM = 4096
+DIM_BITS = 15
+DIM = 1 << DIM_BITS
 SAMPLE = 600
 CENTROIDS = 4
-#: A text is rejected below this part of the smallest cosine in training.
-REJECT = 0.15
+#: A text is rejected below this part of its language's QUANTILE of cosines.
+REJECT, QUANTILE = 0.5, 0.01
+#: Bytes from which the whole limit holds.
+FULL = 64
+#: Texts whose counts are held at once.
+ROWS = 128
 
 _CLASS = np.arange(256, dtype=np.uint32)
 _CLASS[:128] = 32
@@ -59,7 +67,7 @@ def gram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         for k in (2, 3, 4):
             key = key[:-1] * np.uint32(257) + c[k - 1 :]
             ok = left[: len(key)] >= k
-            slot = (key * np.uint32(2654435761) + np.uint32(k * 40503)) >> np.uint32(20)
+            slot = (key * np.uint32(2654435761) + np.uint32(k * 40503)) >> np.uint32(32 - DIM_BITS)
             total += np.bincount(row[: len(key)][ok] + slot[ok], minlength=len(total))
         out[first:to] = total.reshape(-1, DIM)
     return out
@@ -82,7 +90,7 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _sparse(batches):
     for whole in batches:
-        for batch in textkit.blocks(whole, "text", 1 << 20):
+        for batch in (b.slice(i, ROWS) for b in textkit.blocks(whole, "text", 1 << 20) for i in range(0, b.num_rows, ROWS)):
             counts = gram_counts(*textkit.text_buffer(batch.column("text")))
             rows, slots = np.nonzero(counts)
             firsts = np.searchsorted(rows, np.arange(len(counts) + 1))
@@ -92,10 +100,10 @@ def _sparse(batches):
 
 
 class Model:
-    """Languages, idf, centroids (one row each, with the language's index), least cosines."""
+    """Languages, idf, centroids (one row each, with the language's index), limits of cosines."""
 
-    def __init__(self, languages: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, least: np.ndarray):
-        self.languages, self.idf, self.centroids, self.owner, self.least = languages, idf, centroids, owner, least
+    def __init__(self, languages: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, limits: np.ndarray):
+        self.languages, self.idf, self.centroids, self.owner, self.limits = languages, idf, centroids, owner, limits
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return _unit(np.log1p(counts) * self.idf)
@@ -105,13 +113,22 @@ class Model:
         has = _has_letter(data, offsets)
         if not self.languages:
             return np.full(len(has), -1), np.zeros(len(has)), np.ones(len(has), bool)
-        cosines = self.vectors(gram_counts(data, offsets)) @ self.centroids.T
+        scaled = (self.centroids * self.idf).T
+        cosines = np.concatenate([self._cosines(data, offsets[i : i + ROWS + 1], scaled) for i in range(0, len(has), ROWS)]) if len(has) else np.zeros((0, len(self.owner)))
         best = cosines.argmax(axis=1)
         score = np.clip(cosines[np.arange(len(best)), best].astype(np.float64), 0, 1)
         lang = self.owner[best]
-        rejected = ~has | (score < REJECT * self.least[lang])
+        rejected = ~has | (score < self.limits[lang] * np.minimum(1, np.diff(offsets) / FULL))
         return np.where(has, lang, -1), np.where(has, score, 0.0), rejected
 
+    def _cosines(self, data: np.ndarray, offsets: np.ndarray, scaled: np.ndarray) -> np.ndarray:
+        counts = gram_counts(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+        rows, slots = np.nonzero(counts)
+        values = np.log1p(counts[rows, slots])
+        counts[rows, slots] = values
+        size = np.sqrt(np.bincount(rows, (values * self.idf[slots]).astype(np.float64) ** 2, len(counts)))
+        return (counts @ scaled) / np.maximum(size, 1e-12)[:, None]
+
 
 def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     """Spherical k-means from far apart first centroids; deterministic."""
@@ -140,22 +157,29 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     rate = F.create_map(*[F.lit(v) for lang in languages for v in (lang, min(1.0, sample / counts[lang]))])
     picked = rows.filter(draw < rate[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     got = picked.mapInArrow(_sparse, "lang string, slots array<short>, counts array<float>").limit(2 * sample * len(languages)).toArrow()
-    counts_of, labels = np.zeros((got.num_rows, DIM), np.float32), np.array(got.column("lang").to_pylist(), dtype=object)
-    for i, (slots, values) in enumerate(zip(got.column("slots"), got.column("counts"), strict=True)):
-        counts_of[i, slots.values.to_numpy(zero_copy_only=False)] = values.values.to_numpy(zero_copy_only=False)
-    order = np.lexsort((counts_of @ np.arange(1, DIM + 1, dtype=np.float64), labels.astype(str)))
-    counts_of, labels = counts_of[order], labels[order]
-    idf = (np.log((1 + len(labels)) / (1 + (counts_of > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model(languages, idf, np.zeros((0, DIM), np.float32), np.zeros(0, int), np.ones(len(languages)))
-    x = model.vectors(counts_of)
+    labels = np.array(got.column("lang").to_pylist(), dtype=object)
+    sparse = [(x.values.to_numpy(zero_copy_only=False).astype(np.int64), y.values.to_numpy(zero_copy_only=False)) for x, y in zip(got.column("slots"), got.column("counts"), strict=True)]
+    order = np.lexsort((np.array([(x + 1.0) @ y for x, y in sparse]), labels.astype(str)))
+    seen = np.zeros(DIM, np.int64)
+    for slots, _ in sparse:
+        seen[slots] += 1
+    idf = (np.log((1 + len(labels)) / (1 + seen)) + 1).astype(np.float32)
+    model = Model(languages, idf, np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(len(languages)))
     parts, owner = [], []
-    for i, lang in enumerate(languages):
-        own = x[labels == lang]
-        own = own[np.linalg.norm(own, axis=1) > 0]
+    for i, lang in enumerate(languages):  # one at a time: dense vectors of one language are held
+        picked_rows = [k for k in order if labels[k] == lang and len(sparse[k][0])]
+        own = np.zeros((len(picked_rows), DIM), np.float32)
+        for k, row in enumerate(picked_rows):
+            own[k, sparse[row][0]] = sparse[row][1]
+        share = np.minimum(1, (own.sum(axis=1) / 3 + 2) / FULL)  # a text of n bytes has 3 n - 6 grams
+        own = model.vectors(own)
         if len(own):
             parts.append(_cluster(own, CENTROIDS))
             owner += [i] * len(parts[-1])
-            model.least[i] = float((own @ parts[-1].T).max(axis=1).min())
+        if len(own) > 1:
+            halves = own[::2], own[1::2]
+            cosines = np.concatenate([(y @ _cluster(x, CENTROIDS).T).max(axis=1) for x, y in (halves, halves[::-1])])
+            model.limits[i] = REJECT * max(0.0, float(np.quantile(cosines / np.concatenate([share[1::2], share[::2]]), QUANTILE)))
     model.centroids, model.owner = (np.concatenate(parts), np.array(owner)) if parts else (model.centroids, model.owner)
     if not parts:
         model.languages = []
