@@ -24,6 +24,8 @@ WORDS = "(VALUES (1, 1, 'ADS', 'en', 'license'), (1, 2, 'ADS', 'en', 'offer'), (
 REVIEWS = f"(VALUES (1, '{UNCLASSIFIED}', 'a b', true), (2, '{UNCLASSIFIED}', 'c', false), (3, 'ADS', 'd e', false)) AS r(record_id, suggested_category, words, short_content)"
 PROPOSAL = [(fixed.ADS, "en", "license"), (fixed.ADS, "en", "reserved"), (fixed.PHISH, "en", "que"), (fixed.PHISH, "en", "nosuchword"), (fixed.ACADEMIC1, "en", "les des"), (fixed.GAMBLING, "en", "atat")]
 ORDER = [*SCHEME1.ids, UNCLASSIFIED, EMPTY]
+#: The reference's scan of K.
+KS = [8, 10, 12, 15, 18, 20, 25, 30]
 CLUSTER_PARAMS = {"min_df": 5, "max_df": 0.25, "sublinear": True}
 
 
@@ -77,24 +79,24 @@ def _vectors(spark, sf):
 
 
 def _kmeans(spark, sf):
-    clustered, _ = cluster.kmeans(_vectors(spark, sf), 6, seeds=3, max_iter=50)
+    clustered, _ = cluster.kmeans(_vectors(spark, sf), 6)
     return cluster.with_empty(clustered, _vectors(spark, sf))
 
 
 def _kmeans_samples(spark, sf):
-    return cluster.nearest_samples(*cluster.kmeans(_vectors(spark, sf), 6, seeds=1, max_iter=20), 10)
+    return cluster.nearest_samples(*cluster.kmeans(_vectors(spark, sf), 6), 10)
 
 
 def _kmeans_metrics(spark, sf):
-    scan = cluster.scan_k(_vectors(spark, sf), [5, 6, 8], seeds=1, max_iter=20)
+    scan = cluster.scan_k(_vectors(spark, sf), KS)
     return scan.withColumn("picked", F.col("k") == cluster.pick_k(scan))
 
 
 def _svd_kmeans(spark, sf):
-    weights, _ = _weights(spark, sf, **CLUSTER_PARAMS, max_features=2000)
+    weights, _ = _weights(spark, sf, **CLUSTER_PARAMS, max_features=50_000)
     weights = weights.persist()
     rows = cluster.sparse_rows(weights, tfidf.vocabulary(weights))
-    clustered, _ = cluster.kmeans(cluster.reduce_dimensions(rows, 20), 5, seeds=1, max_iter=20)
+    clustered, _ = cluster.kmeans(cluster.reduce_dimensions(rows, 100), 5)
     return cluster.suggest_names(cluster.cluster_keywords(weights, clustered.select("record_id", "cluster_id")))
 
 
