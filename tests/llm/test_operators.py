@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,44 +228,125 @@ def test_isotonic_pool():
 def test_language_model(spark):
     rows = corpus()
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    got = {r.doc_id: r for r in hpyp.language_model_scores(table(spark, [*rows, (None, "w1 w2", "", "")]), ~held).collect()}
-    tokens = {i: [*re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split(), None] for i, t, *_ in rows}
-    train = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    repeated = [*rows, (None, "w1 w2", "", ""), (None, "w1 w2 w3 w4", "", ""), (0, "w5 zzz", "", "")]
+    found = hpyp.language_model_scores(table(spark, repeated), ~held).collect()
+    assert len(found) == len(repeated) and sorted(r.n_tokens for r in found if r.doc_id is None) == [3, 5]
+    assert sorted(r.n_tokens for r in found if r.doc_id == 0) == sorted([3, len(rows[0][1].split()) + 1])
+    got = {(r.doc_id, r.n_tokens): r for r in found}
+    tokens = [(i, [*re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split(), None]) for i, t, *_ in repeated]
+    train = Counter(w for i, ws in tokens if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)  # a null id has no remainder
     n, v, gain = sum(train.values()), len(train), 0.0
-    for i, ws in tokens.items():
-        r = got[i]
+    for i, ws in tokens:
+        r = got[i, len(ws)]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(train[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in ws))
+        assert r.perplexity == pytest.approx(10 ** (-r.score / len(ws)))
         gain += r.score - r.base_score
-    assert len(got) == len(rows) + 1 and gain > 0
+    assert gain > 0
     empty = hpyp.language_model_scores(table(spark, [(1, "a b", "", ""), (2, None, "", "")]), F.lit(False)).collect()
     assert sorted((r.doc_id, r.n_tokens, r.score, r.base_score) for r in empty) == [(1, 3, 0.0, 0.0), (2, 1, 0.0, 0.0)]
     assert hpyp.language_model_scores(table(spark, []), F.lit(True)).count() == 0
 
 
-def test_language_model_probabilities_sum_to_one(spark):
-    """One-word texts whose ends are known: the probabilities of all words after the start."""
-    rows = [(i, f"w{i % 7} w{i % 3}", "", "") for i in range(40)]
-    probes = [(1000 + i, f"w{i}", "", "") for i in range(7)] + [(2000, "unseen", "", ""), (2001, "", "", "")]
-    got = {r.doc_id: r.score for r in hpyp.language_model_scores(table(spark, rows + probes), F.col("doc_id") < 1000).collect()}
-    ends = {r.doc_id: r.score for r in hpyp.language_model_scores(table(spark, [*rows, *[(3000 + i, f"w{i} w{j}", "", "") for i in range(1) for j in range(1)]]), F.col("doc_id") < 1000).collect()}
-    assert all(s < 0 for s in got.values()) and ends
-    model_row = {"words": np.array([5, 9], np.uint64), "sizes": np.array([2, 1], np.uint32), "contexts": np.array([1, 2, 1], np.uint16), "counts": np.array([3, 1, 2], np.uint32)}
-    customers, tables = np.zeros(hpyp.CONTEXTS), np.zeros(hpyp.CONTEXTS)
-    customers[1], customers[2], tables[1], tables[2] = 5, 1, 2, 1
-    model = hpyp.Model(6, 2, 0.5, 0.6, customers, [(tables, 3.0, 2.0)])
-    for s in range(1, hpyp.SWEEPS + 1):
-        row = {k: v.tobytes() for k, v in model_row.items()}
-        *_, (_, seats, c, t) = model.sweeps(*hpyp._arrays(row), s)
-        model.totals.append((np.bincount(model_row["contexts"], seats, hpyp.CONTEXTS), float(c.sum()), float(t.sum())))
-    range_ = hpyp._Range(model)
-    range_.add(row)
-    range_.ready()
-    total = np.zeros(3)
-    for word in (5, 9, 77):
-        block = {"words": np.array([word], np.uint64).tobytes(), "sizes": np.array([3], np.uint32).tobytes(), "contexts": np.array([1, 2, 3], np.uint16).tobytes(), "docs": np.array([0, 1, 2], np.uint16).tobytes(), "ids": np.array([1, 1, 1], np.int64).tobytes()}
-        total += 10 ** range_.score(block).column("score").to_numpy()
-    assert total == pytest.approx(np.ones(3))
+def _part(texts, deal, part=0):
+    """The entries of one part, as a Chunk for each row of the model, and its words."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([True] * len(texts))], ["text", "train"])
+    rows = [r for b in hpyp._entries(deal)([batch]) for r in b.to_pylist() if r["part"] == part]
+    out = [r for b in hpyp._merge_entries(2)([pa.RecordBatch.from_pylist(rows, hpyp._SCHEMA)]) for r in b.to_pylist()]
+    known = next(hpyp._unpack(r["data"])[0] for r in out if r["kind"] == 1)
+    return known, [hpyp.Chunk(*hpyp._unpack(r["data"])) for r in out if r["kind"] == 2]
+
+
+def test_language_model_entries_and_probabilities():
+    """Entries equal a plain count of trigrams, and predictive probabilities those of a plain model
+    with the same seats; they sum to one over all words and the unknown one."""
+    rng = random.Random(4)
+    texts = [words(rng, rng.randrange(0, 30), 12) for _ in range(60)] + ["b a b a b a " * 400]
+    deal = hpyp.Deal(1, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    known, chunks = _part(texts, deal)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    hashes, rows = hpyp.tokens(batch)
+    want: Counter = Counter()
+    for r in range(len(texts)):
+        ws = [int(hpyp._START)] * 2 + [int(h) for h in hashes[rows == r]]
+        want.update(zip(ws, ws[1:], ws[2:]))
+    got = {}
+    for c in chunks:
+        for e in range(len(c.counts)):
+            got[int(known[c.far[e]]), int(known[c.heads[c.head[e]]]), int(known[c.word[c.dish[e]]])] = int(c.counts[e])
+    assert got == want
+
+    v = len(set(hashes.tolist()))
+    settings = hpyp.Settings(len(hashes), v, (0.6, 0.7), (50.0, 20.0))
+    present = np.isin(known, hashes)
+    customers, tables = np.where(present, 2, 0), np.where(present, 1, 0)
+    customers[np.flatnonzero(present)[0]] += 50 - customers.sum()
+    tables[np.flatnonzero(present)[0]] += 20 - tables.sum()
+    unigram = settings.unigram(customers, tables)
+    nobody = settings.unigram(np.zeros(1), np.zeros(1))[0]
+    assert unigram[present].sum() + nobody == pytest.approx(1)
+    part = hpyp.Part(known, np.ones(len(known), np.int64), unigram)
+    for c in chunks:
+        part.add(c, settings)
+    part.ready()
+    words_ = np.flatnonzero(present).astype(np.uint32)
+    gone = np.flatnonzero(~present)
+    assert len(gone) == 1  # the start, which stands for the unknown word too
+    every = np.append(words_, gone).astype(np.uint32)
+    part.unigram[gone] = nobody
+    for far, near in [(int(hpyp._START), int(hpyp._START)), *[k[:2] for k in list(want)[:20]], (int(known[words_[0]]), int(known[words_[1]])), (int(known[words_[2]]), int(known[words_[2]]))]:
+        one = np.ones(len(every), np.uint32)
+        near, far = one * np.uint32(np.searchsorted(known, np.uint64(near))), one * np.uint32(np.searchsorted(known, np.uint64(far)))
+        assert part.chances(near, every, far).sum() == pytest.approx(1)
+
+    (chunk,) = chunks
+    samples = list(chunk.sweeps(unigram, settings, hpyp.SWEEPS + 1, hpyp.SAMPLES + 1))[1:]
+    d2, d1 = settings.discounts
+    for e in range(0, len(chunk.counts), 7):
+        d, p = chunk.dish[e], chunk.pair[e]
+        h, w, total = chunk.dish_head[d], chunk.word[d], 0.0
+        for t2, c1, t1 in samples:
+            assert all(c1[i] == t2[chunk.dish == i].sum() for i in (0, d)) and (t2 <= chunk.counts).all() and (t1 <= c1).all() and t2.min() > 0 < t1.min()
+            same, pair = chunk.dish_head == h, chunk.pair == p
+            p1 = (c1[d] - d1 * t1[d] + (1 + d1 * t1[same].sum()) * unigram[w]) / (1 + c1[same].sum())
+            total += (chunk.counts[e] - d2 * t2[e] + (1 + d2 * t2[pair].sum()) * p1) / (1 + chunk.counts[pair].sum())
+        one = [np.array([x], np.uint32) for x in (chunk.heads[h], w, chunk.far[e])]
+        assert part.chances(*one)[0] == pytest.approx(total / len(samples))
+
+
+def test_seats_have_the_equilibrium_of_the_chinese_restaurant():
+    """The share of seatings with t tables against the sum over all set partitions."""
+    c, w, d, n = 5, 0.7, 0.4, 40_000
+    weights = Counter()
+
+    def walk(sizes, left, p):
+        if not left:
+            weights[len(sizes)] += p
+            return
+        walk([*sizes, 1], left - 1, p * w)
+        for i, s in enumerate(sizes):
+            walk([*sizes[:i], s + 1, *sizes[i + 1 :]], left - 1, p * (s - d))
+
+    walk([], c, 1.0)
+    rng = np.random.default_rng(1)
+    one = hpyp._small_dishes(np.full(n, c), np.full(n, w), d, rng)
+    share = np.bincount(one, minlength=c + 1)[1:] / n
+    want = np.array([weights[t] for t in range(1, c + 1)]) / sum(weights.values())
+    forward = np.abs(share - want).max()
+    assert forward < 0.06
+    big = [hpyp._large_dish(2000, 3.0, 0.5, np.random.default_rng(i)) for i in range(20)]
+    small = hpyp._small_dishes(np.full(200, 2000), np.full(200, 3.0), 0.5, rng)
+    assert 0.75 < np.mean(big) / small.mean() < 1.33
+
+
+def test_hot_words_are_dealt_over_parts():
+    near = np.full(10_000, 77, np.uint64)
+    far = np.arange(10_000, dtype=np.uint64)
+    cold = hpyp.Deal(64, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    hot = hpyp.Deal(64, np.array([77], np.uint64), np.array([40 * hpyp.HOT]))
+    assert len(np.unique(cold.parts(near, far))) == 1
+    got = np.bincount(hot.parts(near, far), minlength=64)
+    assert (got > 0).sum() > 20 and got.max() < 1500
 
 
 def test_nearest(spark):
