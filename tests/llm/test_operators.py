@@ -53,7 +53,6 @@ def corpus(seed=1):
 
 def test_exact_dedup(spark):
     rows = [*corpus(), (None, "one two", None, None), corpus()[0]]
-    got = exact_dedup.exact_dedup(table(spark, rows), capacity=8, max_depth=4).collect()
     groups: dict = {}
     for i, t, *_ in rows:
         groups.setdefault(WS.sub(" ", t or ""), []).append(i)
@@ -62,9 +61,20 @@ def test_exact_dedup(spark):
         norm = WS.sub(" ", t or "")
         keep = min(x for x in groups[norm] if x is not None)
         want.append((i, keep, len(groups[norm]), i == keep, hashlib.sha256(norm.encode()).hexdigest()))
-    assert sorted(map(repr, want)) == sorted(repr(tuple(r)[:5]) for r in got)
-    index = exact_dedup.build_index(table(spark, rows), capacity=8, max_depth=4)
-    assert index.groupBy("bucket").agg(F.max("local_depth").alias("d"), F.min("local_depth").alias("e")).filter("d <> e").count() == 0
+    for hot in (3, 64):  # the 15 copies by their owner, and combined beforehand
+        got = exact_dedup.exact_dedup(table(spark, rows), capacity=8, hot=hot).collect()
+        assert sorted(map(repr, want)) == sorted(repr(tuple(r)[:5]) for r in got)
+    # hashes that collide: the chain tells texts apart, and the directory doubles down to single keys
+    index = exact_dedup.build_index(table(spark, rows), capacity=2, hot=9, key=lambda c: F.length(c).cast("long")).collect()
+    assert sorted((repr(r.id), r.keep_id, r.group_size, r.text_sha256) for r in index) == sorted((repr(w[0]), w[1], w[2], w[4]) for w in want)
+    chains: dict = {}
+    for r in index:
+        chains.setdefault(r.h, set()).add((r.chain, r.text_sha256))
+    assert max(map(len, chains.values())) > 1 and all(sorted(c for c, _ in v) == list(range(1, len(v) + 1)) for v in chains.values())
+    buckets: dict = {}
+    for r in index:
+        buckets.setdefault(r.bucket, set()).add((r.local_depth, r.h))
+    assert all(len(v) <= 2 and len({d for d, _ in v}) == 1 for v in buckets.values())
     assert exact_dedup.exact_dedup(table(spark, [])).count() == 0
 
 
