@@ -57,6 +57,20 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a table that are each worth more than this share of all rows: so many at most.
+HOT_ROWS = 20_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """Inner or left join with a staged table of distinct keys and `c`, how many rows of left (or of
+    what stands for them) have each. Keys with more than a HOT_ROWS-th of `total` are broadcast, so
+    their rows stay where they are: HOT_ROWS keys at most."""
+    line = max(1000, total // HOT_ROWS)
+    hot = F.broadcast(right.filter(F.col("c") > line))
+    cold = left.join(hot.select(*on), on, "left_anti").join(right.filter(F.col("c") <= line), on, how)
+    return left.join(hot, on).unionByName(cold)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,22 +2,26 @@
 
 A window of WINDOW consecutive words is repeated if its word sequence also starts at another
 place, in the same text or another. Windows repeated at one length alone are extended to twice
-that length (the last doubling stops at WINDOW), until no candidates are left:
-
-1. Level one has half the length. Of the half windows inside each full window only the one with
-   the smallest hash (the leftmost of equals) is kept: two equal full windows keep equal halves,
-   so counting those, about one in nine places, loses nothing. Halves that occur once die.
-2. Level two: the full windows whose kept half is repeated. Those that occur twice or more are
-   the repeated windows, and mark their words.
-
-Texts with equal word sequences are found first and count as one text of weight two, which is
-wholly repeated; so copies cost nothing in the levels. Counts combine before every shuffle, and
-lookups are joins that can be split, so a passage in a third of all texts gathers in no task.
-Sequences are compared by 64-bit hashes of 64-bit word hashes.
+that length (9, 18, then the last doubling stops at WINDOW, 35), until no candidates are left:
+
+1. At the first length only one part of each full window is kept, the one with the smallest hash
+   (the leftmost of equals): two equal full windows keep equal parts, so counting those, about one
+   in fourteen places, loses nothing. Parts that occur once die.
+2. At each further length the full windows whose kept part lives are candidates; of them, too, one
+   part of that length is kept, counted, and dies if it occurs once. Only texts with candidates go
+   on, and the loop ends where there are none.
+3. At the last length the part is the window itself: those that occur twice or more are the repeated
+   windows, and mark their words.
+
+Texts with equal word sequences are found first and form a class, which is worked on once; one of
+two rows or more is wholly repeated. Counts combine before every shuffle. A part or class that
+has more than a 20,000th of all rows is looked up by broadcast (there are 20,000 such at most), so
+a passage in a third of all texts gathers in no task. Sequences and windows are compared by 128-bit
+hashes, parts by 64-bit ones.
 
 Defined results: a null text has no words; texts shorter than WINDOW lose nothing; judged is the
-input, not what is left. The id is a key: rows repeated with id and text are copies of each
-other. A null id is served by its text. Other columns are ignored.
+input, not what is left. Ids are not keys: every row is served by its text, so rows that share an
+id, or have none, are rows like others. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenmill.llm import textkit
-from lumenmill.llm.common import discard, prepare, stage, table
+from lumenmill.llm.common import discard, join_counted, prepare, stage, table
 
 WINDOW = 35
+_SALT = np.uint64(0x9FB21C651E98DF25)
 
 
 def _leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -49,58 +54,81 @@ def _leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
-def _levels(batch: pa.RecordBatch, window: int):
-    """Of a batch's texts: word hashes, first words, for each full window that lies in one text
-    its start and the place of its kept half, and the halves' hashes."""
+def lengths(window: int) -> list[int]:
+    """The lengths of the levels: window, its half, and that one's half."""
+    return sorted({window, -(-window // 2), -(-window // 4)})
+
+
+def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a batch's texts and where each text's begin (n + 1)."""
     data, offsets = textkit.text_buffer(batch.column("text"))
     starts, ends, firsts = textkit.word_bounds(data, offsets)
-    words = textkit.hash_words(data, starts, ends, lower=False)
-    half = (window + 1) // 2
-    halves = textkit.gram_hashes(words, half)
-    kept = _leftmost_min(halves, window - half + 1)
-    sizes = np.diff(firsts)
-    text_end = np.repeat(firsts[1:], sizes)[: len(kept)]
+    return textkit.hash_words(data, starts, ends, lower=False), firsts
+
+
+def _parts(words: np.ndarray, firsts: np.ndarray, window: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each full window that lies in one text its start and the place of its kept part, and the
+    hashes of all parts."""
+    parts = textkit.gram_hashes(words, length)
+    kept = _leftmost_min(parts, window - length + 1)
+    text_end = np.repeat(firsts[1:], np.diff(firsts))[: len(kept)]
     at = np.flatnonzero(np.arange(len(kept)) + window <= text_end)
-    return words, firsts, at, kept[at], halves
+    return at, kept[at], parts
+
+
+def _lists(values: np.ndarray, places: np.ndarray, firsts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Sorted places of a batch as a list for each text: their values, and the places in the text."""
+    of = np.searchsorted(places, firsts)
+    base = np.repeat(firsts[:-1], np.diff(of))
+    return textkit.ragged(pa.array(values), of), textkit.ragged(pa.array((places - base).astype(np.int32)), of)
 
 
-def _first_level(window: int):
+def _first_level(window: int, length: int):
     def run(batches):
         for whole in batches:
             for batch in textkit.blocks(whole, "text"):
-                words, firsts, _, kept, halves = _levels(batch, window)
+                words, firsts = _words(batch)
+                _, kept, hashes = _parts(words, firsts, window, length)
                 kept = np.unique(kept)
                 s1, s2 = textkit.hash_sequence(words, firsts)
-                of = np.searchsorted(kept, firsts)
-                base = np.repeat(firsts[:-1], np.diff(of))
                 texts = batch.column("text").fill_null("").to_pylist()
                 sha = [hashlib.sha256(b" ".join(t.encode().split())).hexdigest() for t in texts]
+                part, at = _lists(textkit.signed(hashes[kept]), kept, firsts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("key"), pa.array(np.diff(firsts)), pa.array(textkit.signed(s1)), pa.array(textkit.signed(s2)), pa.array(sha),
-                     textkit.ragged(pa.array(textkit.signed(halves[kept])), of), textkit.ragged(pa.array((kept - base).astype(np.int32)), of)],
-                    ["id", "key", "n_words", "s1", "s2", "sha", "half", "at"],
-                )
+                    [batch.column("id"), batch.column("key"), pa.array(np.diff(firsts)), pa.array(textkit.signed(s1)), pa.array(textkit.signed(s2)), pa.array(sha), part, at],
+                    ["id", "key", "n_words", "s1", "s2", "sha", "part", "at"],
+                )
 
     return run
 
 
-def _second_level(window: int):
+def _next_level(window: int, before: int, length: int):
+    """From the parts alive at one length to those kept at the next; for the window itself a second
+    hash comes beside the first. Rows whose text isn't the class's own (a hash that met) go."""
+
     def run(batches):
         for whole in batches:
             for batch in textkit.blocks(whole, "text"):
-                words, firsts, at, kept, halves = _levels(batch, window)
-                alive = np.zeros(len(halves) + 1, dtype=bool)
-                lists = batch.column("at")
+                words, firsts = _words(batch)
+                s1, s2 = textkit.hash_sequence(words, firsts)
+                own = (textkit.signed(s1) == batch.column("s1").to_numpy()) & (textkit.signed(s2) == batch.column("s2").to_numpy())
+                at, kept, _ = _parts(words, firsts, window, before)
+                lists = batch.column("at").filter(pa.array(own))
                 sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-                alive[lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(firsts[:-1], sizes)] = True
+                alive = np.zeros(len(words) + 1, dtype=bool)
+                alive[lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(firsts[:-1][own], sizes)] = True
                 at = at[alive[kept]]
-                full = textkit.gram_hashes(words, window)
-                of = np.searchsorted(at, firsts)
-                base = np.repeat(firsts[:-1], np.diff(of))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), batch.column("weight"), batch.column("text"), textkit.ragged(pa.array(textkit.signed(full[at])), of), textkit.ragged(pa.array((at - base).astype(np.int32)), of)],
-                    ["key", "weight", "text", "full", "at"],
-                )
+                if length == window:
+                    hashes, places = textkit.gram_hashes(words, window), at
+                    more = textkit.gram_hashes(textkit.mix(words + _SALT), window)[at]
+                else:
+                    starts, kept, hashes = _parts(words, firsts, window, length)
+                    places = np.unique(kept[np.searchsorted(starts, at)])
+                    more = np.zeros(len(places), np.uint64)
+                part, place = _lists(textkit.signed(hashes[places]), places, firsts)
+                second, _ = _lists(textkit.signed(more), places, firsts)
+                out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("class", "weight", "s1", "s2", "text")), part, second, place], ["class", "weight", "s1", "s2", "text", "part", "second", "at"])
+                yield out.filter(pa.array(own & (np.diff(np.searchsorted(places, firsts)) > 0)))
 
     return run
 
@@ -114,52 +142,72 @@ def _cut(window: int):
                     words = (text or "").encode().split()
                     change = np.zeros(len(words) + 1, dtype=np.int32)
                     at = at.values.to_numpy(zero_copy_only=False)
-                    change[at] += 1
+                    np.add.at(change, at, 1)
                     np.subtract.at(change, at + window, 1)
                     gone = np.cumsum(change)[:-1] > 0
                     kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                     out.append((int(gone.sum()), kept.decode()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.large_string()).cast(pa.string())],
-                    ["key", "n_removed", "kept_text"],
+                    [batch.column("class"), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.large_string()).cast(pa.string())],
+                    ["class", "n_removed", "kept_text"],
                 )
 
     return run
 
 
+def _alive(level: DataFrame, on: list[str], name: str) -> DataFrame:
+    """Of a staged level (class, weight, part, second, at as lists) the places of parts that occur
+    twice or more: class, weight, at as a list."""
+    flat = level.select("class", "weight", F.expr("inline(arrays_zip(part, second, at))"))
+    counts = stage(flat.groupBy(*on).agg(F.sum("weight").alias("twice"), F.count(F.lit(1)).alias("c")).filter("twice > 1").drop("twice"), f"substring-{name}-counts")
+    total = level.agg(F.coalesce(F.sum(F.size("part")), F.lit(0))).first()[0]
+    found = join_counted(flat, counts, on, total).groupBy("class").agg(F.min("weight").alias("weight"), F.collect_list("at").alias("at"))
+    found = stage(found, f"substring-{name}")
+    discard(counts)
+    return found
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row of docs: the id, n_words, n_removed, kept_sha256, and kept_text where
     words went (null where the text stays as it is or goes as a whole)."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    source = source.select("id", F.coalesce("id", F.xxhash64("text")).alias("key"), "text")
-    schema = "id long, key long, n_words long, s1 long, s2 long, sha string, half array<long>, at array<int>"
-    first = stage(source.mapInArrow(_first_level(window), schema), "substring-first")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    schema = "id long, key long, n_words long, s1 long, s2 long, sha string, part array<long>, at array<int>"
+    levels = lengths(window)
+    first = stage(source.mapInArrow(_first_level(window, levels[0]), schema), "substring-first")
+    total = first.count()
 
     same = ["n_words", "s1", "s2"]
-    copies = first.filter(F.col("n_words") >= window).groupBy(*same).agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("weight"))
-    copies = stage(copies, "substring-copies")
-    counted = first.filter(F.size("half") > 0).join(copies, same).filter("key = least").dropDuplicates(["key"])
-    places = stage(counted.select("key", F.least("weight", F.lit(2)).alias("weight"), "half", "at"), "substring-places")
-    places_flat = places.select("key", "weight", F.expr("inline(arrays_zip(half, at))"))
-    alive = places_flat.groupBy("half").agg(F.sum("weight").alias("c")).filter("c > 1").select("half")
-    survivors = places_flat.join(alive, "half").groupBy("key", "weight").agg(F.collect_list("at").alias("at"))
-    survivors = stage(survivors, "substring-survivors")
-    discard(places)
-
-    texts = source.select("key", "text").join(survivors, "key").dropDuplicates(["key"])
-    second = stage(texts.mapInArrow(_second_level(window), "key long, weight long, text string, full array<long>, at array<int>"), "substring-second")
-    flat = second.select("key", "weight", F.expr("inline(arrays_zip(full, at))"))
-    repeated = flat.groupBy("full").agg(F.sum("weight").alias("c")).filter("c > 1").select("full")
-    marks = flat.filter("weight = 1").select("key", "full", "at").join(repeated, "full").groupBy("key").agg(F.collect_list("at").alias("at"))
-    marks = stage(marks, "substring-marks")
-    cut = second.select("key", "text").join(marks, "key").mapInArrow(_cut(window), "key long, n_removed long, kept_text string")
-    cut = stage(cut, "substring-cut")
-
-    whole = copies.filter("weight > 1").select(*same, F.lit(True).alias("whole"))
-    out = first.select("id", "key", "n_words", "s1", "s2", "sha").join(whole, same, "left").join(cut, "key", "left")
-    n_removed = F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
-    sha = F.when(F.col("whole"), F.sha2(F.lit(""), 256)).when(F.col("kept_text").isNotNull(), F.sha2("kept_text", 256)).otherwise(F.col("sha"))
-    return out.select(F.col("id").alias(id_col), "n_words", n_removed.alias("n_removed"), sha.alias("kept_sha256"), "kept_text")
+    some = first.filter(F.col("n_words") >= window).groupBy(*same)
+    classes = some.agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("c"), F.first("part").alias("part"), F.first("at").alias("at"))
+    weight = F.least("c", F.lit(2)).cast("long").alias("weight")
+    second = F.transform("part", lambda _: F.lit(0).cast("long")).alias("second")
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("class"), *same, "key", "c", weight, "part", second, "at"), "substring-classes")
+
+    living = _alive(classes, ["part"], "level-0")
+    keys = stage(classes.select("class", "key", "c").join(living.select("class"), "class"), "substring-keys")
+    texts = join_counted(source.select("key", "text"), keys, ["key"], total).select("class", "text").distinct()
+    now = texts.join(living, "class").join(classes.select("class", "s1", "s2"), "class").select("class", "weight", "s1", "s2", "text", "at")
+    schema = "class long, weight long, s1 long, s2 long, text string, part array<long>, second array<long>, at array<int>"
+    for i, (before, length) in enumerate(zip(levels[:-1], levels[1:], strict=True), 1):
+        level = stage(now.mapInArrow(_next_level(window, before, length), schema), "substring-texts")
+        discard(living)
+        living = _alive(level, ["part", "second"], f"level-{i}")
+        if i > 1:
+            discard(last)
+        last = level
+        now = level.select("class", "weight", "s1", "s2", "text").join(living.select("class", "at"), "class")
+        if living.isEmpty():
+            break
+    cut = now.filter("weight = 1").select("class", "text", "at").mapInArrow(_cut(window), "class long, n_removed long, kept_text string")
+    whole = classes.filter("weight > 1").select("class", F.col("n_words").alias("n_removed"), F.lit(None).cast("string").alias("kept_text"))
+    lost = stage(classes.select(*same, "class", "c").join(cut.unionByName(whole), "class").drop("class").withColumnRenamed("n_removed", "gone"), "substring-cut")
+    discard(living, last)
+
+    out = join_counted(first.filter(F.col("n_words") >= window), lost, same, total, "left")
+    columns = ["id", "n_words", "sha", "gone", "kept_text"]
+    out = out.select(*columns).unionByName(first.filter(F.col("n_words") < window).select("id", "n_words", "sha", F.lit(None).cast("long").alias("gone"), F.lit(None).cast("string").alias("kept_text")))
+    sha = F.when(F.col("gone").isNull(), F.col("sha")).otherwise(F.sha2(F.coalesce("kept_text", F.lit("")), 256))
+    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), sha.alias("kept_sha256"), "kept_text")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
