@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,11 +31,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if none is named."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse;
+    with a local master, where there is no other machine, a temporary one."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("lumenmill.shared.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="lumenmill-")
+        local = re.match(r"local(\[|$)", spark.sparkContext.master)
+        path = tempfile.mkdtemp(prefix="lumenmill-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lumenmill-stages"
         spark.conf.set("lumenmill.shared.dir", path)
     return path.rstrip("/")
 

@@ -8,9 +8,10 @@ Jaccard similarity of 0.75 or more; a group is a connected component of links.
    by step (Fisher-Yates) together with rank-correlated values, so registers have less variance
    than independent ones; a document stops at the first step after which no later value can be
    smaller. Elements of a whole batch take each step together.
-2. Documents with equal sets form a class; only its smallest id goes on.
+2. Documents with equal sets form a class, numbered on its own: ids are no keys. A class goes on by
+   one of its texts.
 3. Banding: 32 bands of 4 registers. A pair at 0.75 meets in a band but for 5 in a million.
-4. Members of a bucket are first compared with one pivot, its smallest id; links are confirmed on
+4. Members of a bucket are first compared with one pivot, its smallest class; links are confirmed on
    the full sets. Buckets whose members are by then one component are done. The others are
    compared exactly: in small ones the pairs across components, in larger ones blocks of members,
    in which 0/1 matrix products count the intersections of all full sets; a block sends back at
@@ -18,8 +19,8 @@ Jaccard similarity of 0.75 or more; a group is a connected component of links.
 5. Components by union-find and star contraction, in the shared folder.
 
 Defined results: null and empty texts and those without words have an empty set and no link; a
-text of fewer than five words has one shingle, its whole sequence; rows repeated with their id
-share its result; a null id takes the component of its class (null if none has an id). Other
+text of fewer than five words has one shingle, its whole sequence; rows that share an id, or have
+none, are documents like others, and a component whose documents have no id has none either. Other
 columns are ignored.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenmill.llm import textkit
-from lumenmill.llm.common import discard, parts, prepare, stage, table
+from lumenmill.llm.common import discard, join_counted, parts, prepare, stage, table
 from lumenmill.llm.graph import components
 
 SHINGLE = 5
@@ -105,7 +106,7 @@ def _sign(batches):
                 prints.append(textkit.signed(textkit.mix(sums[firsts[1:]] - sums[firsts[:-1]])))
             keys = textkit.signed(band_keys(super_minhash(flat, firsts)))
             keys = textkit.ragged(pa.array(keys.reshape(-1)), np.arange(len(sizes) + 1) * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), keys], ["id", "n", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(sizes.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), keys], ["id", "key", "n", "f1", "f2", "bands"])
 
 
 def _confirm(batches):
@@ -145,7 +146,7 @@ def _in_blocks(opened: DataFrame, texts: DataFrame) -> DataFrame:
     own = opened.withColumn("own", F.pmod(F.xxhash64("class_id"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     placed = own.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("class_id").alias("id"), "root")
     key = ["bucket", "i", "j"]
-    return placed.join(texts, "id").select(*key, "id", "root", "text").repartition(parts(texts.sparkSession), *key).sortWithinPartitions(*key, "id")
+    return placed.join(texts.toDF("id", "text"), "id").select(*key, "id", "root", "text").repartition(parts(texts.sparkSession), *key).sortWithinPartitions(*key, "id")
 
 
 def intersections(flat: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -213,22 +214,24 @@ def _block_links(batches):
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: the id, n_shingles, component_id, kept, class_id."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stage(source.mapInArrow(_sign, "id long, n long, f1 long, f2 long, bands array<long>"), "near-signatures")
-
-    key = ["n", "f1", "f2"]
-    classes = signed.filter("n > 0").groupBy(*key).agg(F.min("id").alias("class_id"))
-    members = signed.join(classes, key, "left")
-    first = F.col("id") == F.col("class_id")
-    members = stage(members.select("id", "n", F.coalesce("class_id", "id").alias("class_id"), F.when(first & (F.col("n") > 0), F.col("bands")).alias("bands")), "near-classes")
-    discard(signed)
-
-    entries = members.filter("bands is not null").select("class_id", F.explode("bands").alias("bucket")).distinct()
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("class_id").alias("pivot")).filter("c > 1").drop("c")
-    buckets = stage(entries.join(shared, "bucket"), "near-buckets")
-    candidates = buckets.select("class_id").distinct()
-    texts = source.join(candidates.toDF("id"), "id", "left_semi").dropDuplicates(["id"])
+    """One row per row of docs: the id, n_shingles, component_id, kept, class_id (a number of the
+    texts with the same set, null without one)."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    signed = stage(source.mapInArrow(_sign, "id long, key long, n long, f1 long, f2 long, bands array<long>"), "near-signatures")
+    total = signed.count()
+
+    same = ["n", "f1", "f2"]
+    groups = signed.filter("n > 0").groupBy(*same)
+    classes = groups.agg(F.min("id").alias("least"), F.min("key").alias("key"), F.count(F.lit(1)).alias("c"), F.first("bands").alias("bands"))
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("class_id"), *same, "least", "key", "c", "bands"), "near-classes")
+
+    entries = classes.select("class_id", F.explode(F.array_distinct("bands")).alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("class_id").alias("pivot")).filter("c > 1")
+    shared = stage(shared, "near-shared")
+    buckets = join_counted(entries, shared, ["bucket"], total * BANDS)
+    buckets = stage(buckets.select("bucket", "class_id", "pivot"), "near-buckets")
+    candidates = stage(classes.join(buckets.select("class_id").distinct(), "class_id").select("class_id", "key", "c"), "near-candidates")
+    texts = join_counted(source.select("key", "text"), candidates, ["key"], total).select("class_id", "text").distinct()
     texts = stage(texts, "near-texts")
 
     pairs = stage(buckets.filter("class_id <> pivot").select(F.col("pivot").alias("a"), F.col("class_id").alias("b")).distinct(), "near-pairs")
@@ -243,9 +246,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         blocks = _in_blocks(opened.filter(F.col("c") > SMALL_BUCKET), texts)
         links = stage(links.union(_linked(more, texts)).union(blocks.mapInArrow(_block_links, "a long, b long")), "near-links")
         forest = components(links)
-    found = members.select("id", "n", "class_id").join(forest.toDF("class_id", "root"), "class_id", "left")
-    component = F.coalesce("root", "class_id")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "class_id")
+        discard(more)
+
+    # the smallest id of each component, whatever number its smallest class has
+    rooted = classes.select("class_id", *same, "least", "c").join(forest.toDF("class_id", "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = stage(rooted.join(smallest, "root").select(*same, "c", "class_id", "component_id"), "near-components")
+    columns = ["id", "n", "class_id", "component_id"]
+    out = join_counted(signed.filter("n > 0").select("id", *same), found, same, total).select(*columns)
+    out = out.unionByName(signed.filter("n = 0").select("id", "n", F.lit(None).cast("long").alias("class_id"), F.col("id").alias("component_id")))
+    discard(pairs, texts, buckets, shared, candidates, opened)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
 
 
 def op6_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,19 @@ def test_near_dedup(spark, seed):
         assert sorted((str(r.doc_id), r.component_id) for r in odd) == [("1", 1), ("1", 1), ("None", 1)]
 
 
+def test_near_dedup_without_keys(spark):
+    """Ids that repeat over different texts, and null ones, against brute force over row numbers."""
+    rows = [t for t in corpus(3) if t[0] != 77]
+    ids = [None if k % 7 == 3 else k // 2 for k in range(len(rows))]
+    want = groups_of([(k, r[1], "", "") for k, r in enumerate(rows)])
+    least: dict = {}
+    for k, (_, c) in want.items():
+        least.setdefault(c, []).append(ids[k])
+    least = {c: min((i for i in v if i is not None), default=None) for c, v in least.items()}
+    got = near_dedup.near_dedup(table(spark, [(ids[k], *r[1:]) for k, r in enumerate(rows)])).collect()
+    assert sorted(repr((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in got) == sorted(repr((ids[k], n, least[c], ids[k] == least[c])) for k, (n, c) in want.items())
+
+
 def test_blocks_lose_nothing(spark, monkeypatch):
     """A family most of whose members are just not similar enough, in one bucket of many blocks."""
     rng = random.Random(5)
@@ -169,6 +182,26 @@ def test_substring_dedup(spark):
     t = words(random.Random(9), 40)
     twice = substring_dedup.substring_dedup(table(spark, [(None, t, "", ""), (4, t, "", ""), (4, t, "", "")])).collect()
     assert [r.n_removed for r in twice] == [40, 40, 40]
+    # rows that share an id, or have none, are rows like others
+    rng = random.Random(11)
+    p, q = words(rng, 60, 10**6), words(rng, 60, 10**6)
+    rows = [(1, f"a {p}", "", ""), (1, f"{q} b c", "", ""), (2, f"x {p} y", "", ""), (None, f"{q} z", "", ""), (None, "one " + words(rng, 50, 10**6), "", "")]
+    got = substring_dedup.substring_dedup(table(spark, rows)).collect()
+    assert sorted((repr(r.doc_id), r.n_words, r.n_removed) for r in got) == [("1", 61, 60), ("1", 62, 60), ("2", 62, 60), ("None", 51, 0), ("None", 61, 60)]
+
+
+@pytest.mark.parametrize("window", [2, 5, 12, 50])
+def test_substring_dedup_of_other_lengths(spark, window):
+    """Every level against brute force; a text in a hot passage of a third of the rows."""
+    rng = random.Random(window)
+    rows = [(i, words(rng, rng.randrange(0, 90), 4 if window < 12 else 40) + (" hot" * 60 if i % 3 == 0 else ""), "", "") for i in range(40)]
+    docs = [t.split() for _, t, *_ in rows]
+    seen = Counter(tuple(w[i : i + window]) for w in docs for i in range(len(w) - window + 1))
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(table(spark, rows), window=window).collect()}
+    for i, w in enumerate(docs):
+        gone = {j for k in range(len(w) - window + 1) if seen[tuple(w[k : k + window])] > 1 for j in range(k, k + window)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        assert (got[i].n_removed, got[i].kept_sha256) == (len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
 def test_mixing(spark):
