@@ -291,70 +291,73 @@ def test_language_model(spark):
     assert hpyp.language_model_scores(table(spark, []), F.lit(True)).count() == 0
 
 
-def _part(texts, deal, part=0):
-    """The entries of one part, as a Chunk for each row of the model, and its words."""
-    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([True] * len(texts))], ["text", "train"])
-    rows = [r for b in hpyp._entries(deal)([batch]) for r in b.to_pylist() if r["part"] == part]
-    out = [r for b in hpyp._merge_entries(2)([pa.RecordBatch.from_pylist(rows, hpyp._SCHEMA)]) for r in b.to_pylist()]
-    known = next(hpyp._unpack(r["data"])[0] for r in out if r["kind"] == 1)
-    return known, [hpyp.Chunk(*hpyp._unpack(r["data"])) for r in out if r["kind"] == 2]
-
-
-def test_language_model_entries_and_probabilities():
-    """Entries equal a plain count of trigrams, and predictive probabilities those of a plain model
-    with the same seats; they sum to one over all words and the unknown one."""
+def test_language_model_pairs():
+    """Pairs equal a plain count, whatever the blocks; each word is sent its number of dishes."""
     rng = random.Random(4)
     texts = [words(rng, rng.randrange(0, 30), 12) for _ in range(60)] + ["b a b a b a " * 400]
-    deal = hpyp.Deal(1, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    known, chunks = _part(texts, deal)
-    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
-    hashes, rows = hpyp.tokens(batch)
+    deal = hpyp.Deal(3, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 20]), pa.array([j % 5 > 0 for j in range(len(texts[i : i + 20]))])], ["text", "train"]) for i in range(0, len(texts), 20)]
+    rows = sorted((r for x in batches for b in hpyp._pairs(deal)([x]) for r in b.to_pylist()), key=lambda r: r["part"])
+    out = [r for b in hpyp._merge_pairs(2)([pa.RecordBatch.from_pylist(rows, hpyp._SCHEMA)]) for r in b.to_pylist()]
     want: Counter = Counter()
-    for r in range(len(texts)):
-        ws = [int(hpyp._START)] * 2 + [int(h) for h in hashes[rows == r]]
-        want.update(zip(ws, ws[1:], ws[2:]))
-    got = {}
-    for c in chunks:
-        for e in range(len(c.counts)):
-            got[int(known[c.far[e]]), int(known[c.heads[c.head[e]]]), int(known[c.word[c.dish[e]]])] = int(c.counts[e])
+    for x in batches:
+        hashes, at = hpyp.tokens(x)
+        for r, taught in enumerate(x.column("train").to_pylist()):
+            ws = [int(hpyp._START)] + [int(h) for h in hashes[at == r]]
+            want.update(zip(ws, ws[1:]) if taught else [])
+    got, sent = {}, Counter()
+    for r in out:
+        if r["kind"] == 1:
+            known = hpyp._unpack(r["data"])[0]
+        elif r["kind"] == 2:
+            near, sizes, word, counts = hpyp._unpack(r["data"])
+            got |= {(int(known[n]), int(known[w])): int(c) for n, w, c in zip(np.repeat(near, sizes), word, counts, strict=True)}
+        elif r["kind"] == 4:
+            sent.update(dict(zip(*map(np.ndarray.tolist, hpyp._unpack(r["data"])), strict=True)))
     assert got == want
+    assert +sent == Counter(w for _, w in want)
 
-    v = len(set(hashes.tolist()))
-    settings = hpyp.Settings(len(hashes), v, (0.6, 0.7), (50.0, 20.0))
-    present = np.isin(known, hashes)
-    customers, tables = np.where(present, 2, 0), np.where(present, 1, 0)
-    customers[np.flatnonzero(present)[0]] += 50 - customers.sum()
-    tables[np.flatnonzero(present)[0]] += 20 - tables.sum()
+
+def test_language_model_probabilities():
+    """Predictive probabilities are those of a plain model with the same seats; they sum to one over
+    all words and the unknown one, in contexts that were seen and others."""
+    rng = random.Random(4)
+    n_words = 12  # word 12 stands for the unknown one, 13 for the start
+    triples: Counter = Counter()
+    for _ in range(60):
+        ws = [13, 13] + [rng.randrange(n_words) for _ in range(rng.randrange(1, 30))]
+        triples.update(zip(ws[1:], ws[2:], ws))
+    triples[3, 4, 5] += 700
+    near, word, far = (np.array(x, np.uint32) for x in zip(*sorted(triples), strict=True))
+    counts = np.array([triples[t] for t in sorted(triples)], np.int64)
+    settings = hpyp.Settings(1000, n_words, 0.7, (50.0, 20.0))
+    customers, tables = np.append(np.full(n_words, 4), [0, 0]), np.append(np.full(n_words, 1), [0, 0])
+    customers[0] += 50 - customers.sum()
+    tables[0] += 20 - tables.sum()
     unigram = settings.unigram(customers, tables)
-    nobody = settings.unigram(np.zeros(1), np.zeros(1))[0]
-    assert unigram[present].sum() + nobody == pytest.approx(1)
-    part = hpyp.Part(known, np.ones(len(known), np.int64), unigram)
-    for c in chunks:
-        part.add(c, settings)
-    part.ready()
-    words_ = np.flatnonzero(present).astype(np.uint32)
-    gone = np.flatnonzero(~present)
-    assert len(gone) == 1  # the start, which stands for the unknown word too
-    every = np.append(words_, gone).astype(np.uint32)
-    part.unigram[gone] = nobody
-    for far, near in [(int(hpyp._START), int(hpyp._START)), *[k[:2] for k in list(want)[:20]], (int(known[words_[0]]), int(known[words_[1]])), (int(known[words_[2]]), int(known[words_[2]]))]:
+    assert unigram[: n_words + 1].sum() == pytest.approx(1)
+    chunk = hpyp.Chunk(near, word, far, counts)
+    discounts = 0.6, 0.7
+    model = hpyp.Predictive(chunk, unigram, discounts)
+    every = np.arange(n_words + 1, dtype=np.uint32)
+    for a, b in [(13, 13), (3, 5), (4, 3), (3, 12), (12, 3), (12, 12), (0, 1)]:
         one = np.ones(len(every), np.uint32)
-        near, far = one * np.uint32(np.searchsorted(known, np.uint64(near))), one * np.uint32(np.searchsorted(known, np.uint64(far)))
-        assert part.chances(near, every, far).sum() == pytest.approx(1)
-
-    (chunk,) = chunks
-    samples = list(chunk.sweeps(unigram, settings, hpyp.SWEEPS + 1, hpyp.SAMPLES + 1))[1:]
-    d2, d1 = settings.discounts
-    for e in range(0, len(chunk.counts), 7):
-        d, p = chunk.dish[e], chunk.pair[e]
-        h, w, total = chunk.dish_head[d], chunk.word[d], 0.0
+        assert model.chances(one * np.uint32(a), every, one * np.uint32(b)).sum() == pytest.approx(1)
+
+    samples = list(chunk.sweeps(unigram, discounts, hpyp.SWEEPS + 1, hpyp.SAMPLES + 1))[1:]
+    d2, d1 = discounts
+    for e in range(0, len(counts), 7):
+        total = 0.0
+        dish = [(n, w) for n, w in zip(near.tolist(), word.tolist(), strict=True)]
         for t2, c1, t1 in samples:
-            assert all(c1[i] == t2[chunk.dish == i].sum() for i in (0, d)) and (t2 <= chunk.counts).all() and (t1 <= c1).all() and t2.min() > 0 < t1.min()
-            same, pair = chunk.dish_head == h, chunk.pair == p
-            p1 = (c1[d] - d1 * t1[d] + (1 + d1 * t1[same].sum()) * unigram[w]) / (1 + c1[same].sum())
-            total += (chunk.counts[e] - d2 * t2[e] + (1 + d2 * t2[pair].sum()) * p1) / (1 + chunk.counts[pair].sum())
-        one = [np.array([x], np.uint32) for x in (chunk.heads[h], w, chunk.far[e])]
-        assert part.chances(*one)[0] == pytest.approx(total / len(samples))
+            keys = sorted(set(dish))
+            c, t = dict(zip(keys, c1.tolist(), strict=True)), dict(zip(keys, t1.tolist(), strict=True))
+            assert (1 <= t2).all() and (t2 <= counts).all() and all(c[k] == sum(x for d, x in zip(dish, t2.tolist(), strict=True) if d == k) >= t[k] >= 1 for k in keys[:20])
+            n, w, f = int(near[e]), int(word[e]), int(far[e])
+            p1 = (c[n, w] - d1 * t[n, w] + (1 + d1 * sum(t[k] for k in keys if k[0] == n)) * unigram[w]) / (1 + sum(c[k] for k in keys if k[0] == n))
+            own = (near == n) & (far == f)
+            total += (counts[e] - d2 * t2[e] + (1 + d2 * t2[own].sum()) * p1) / (1 + counts[own].sum())
+        assert model.chances(near[e : e + 1], word[e : e + 1], far[e : e + 1])[0] == pytest.approx(total / len(samples))
 
 
 def test_seats_have_the_equilibrium_of_the_chinese_restaurant():
