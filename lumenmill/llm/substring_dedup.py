@@ -2,11 +2,11 @@
 
 A window of WINDOW consecutive words is repeated if its word sequence also starts at another
 place, in the same text or another. Windows repeated at one length alone are extended to twice
-that length (9, 18, then the last doubling stops at WINDOW, 35), until no candidates are left:
+that length (from START, 18; the last doubling stops at WINDOW, 35), until no candidates are left:
 
 1. At the first length only one part of each full window is kept, the one with the smallest hash
    (the leftmost of equals): two equal full windows keep equal parts, so counting those, about one
-   in fourteen places, loses nothing. Parts that occur once die.
+   in nine places, loses nothing. Parts that occur once die.
 2. At each further length the full windows whose kept part lives are candidates; of them, too, one
    part of that length is kept, counted, and dies if it occurs once. Only texts with candidates go
    on, and the loop ends where there are none.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lumenmill.llm import textkit
 from lumenmill.llm.common import discard, join_counted, prepare, stage, table
 
-WINDOW = 35
+WINDOW, START = 35, 18
 _SALT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -54,9 +54,12 @@ def _leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
-def lengths(window: int) -> list[int]:
-    """The lengths of the levels: window, its half, and that one's half."""
-    return sorted({window, -(-window // 2), -(-window // 4)})
+def lengths(window: int, start: int) -> list[int]:
+    """The lengths of the levels: start, doubled until the window is reached."""
+    out = [min(start, -(-window // 2))]
+    while out[-1] < window:
+        out.append(min(2 * out[-1], window))
+    return out
 
 
 def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -156,23 +159,24 @@ def _cut(window: int):
 
 
 def _alive(level: DataFrame, on: list[str], name: str) -> DataFrame:
-    """Of a staged level (class, weight, part, second, at as lists) the places of parts that occur
-    twice or more: class, weight, at as a list."""
-    flat = level.select("class", "weight", F.expr("inline(arrays_zip(part, second, at))"))
-    counts = stage(flat.groupBy(*on).agg(F.sum("weight").alias("twice"), F.count(F.lit(1)).alias("c")).filter("twice > 1").drop("twice"), f"substring-{name}-counts")
-    total = level.agg(F.coalesce(F.sum(F.size("part")), F.lit(0))).first()[0]
-    found = join_counted(flat, counts, on, total).groupBy("class").agg(F.min("weight").alias("weight"), F.collect_list("at").alias("at"))
+    """Of a staged level (class, weight, and `on` and at as lists) the places of parts that occur
+    twice or more: class, at as a list."""
+    zipped = F.expr(f"inline(arrays_zip({', '.join([*on, 'at'])}))")
+    counts = level.select("weight", zipped).groupBy(*on).agg(F.sum("weight").alias("twice"), F.count(F.lit(1)).alias("c"))
+    counts = stage(counts.filter("twice > 1").drop("twice"), f"substring-{name}-counts")
+    total = level.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
+    found = join_counted(level.select("class", zipped), counts, on, total).groupBy("class").agg(F.collect_list("at").alias("at"))
     found = stage(found, f"substring-{name}")
     discard(counts)
     return found
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, start: int = START) -> DataFrame:
     """One row per row of docs: the id, n_words, n_removed, kept_sha256, and kept_text where
     words went (null where the text stays as it is or goes as a whole)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     schema = "id long, key long, n_words long, s1 long, s2 long, sha string, part array<long>, at array<int>"
-    levels = lengths(window)
+    levels = lengths(window, start)
     first = stage(source.mapInArrow(_first_level(window, levels[0]), schema), "substring-first")
     total = first.count()
 
@@ -180,13 +184,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = first.filter(F.col("n_words") >= window).groupBy(*same)
     classes = some.agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("c"), F.first("part").alias("part"), F.first("at").alias("at"))
     weight = F.least("c", F.lit(2)).cast("long").alias("weight")
-    second = F.transform("part", lambda _: F.lit(0).cast("long")).alias("second")
-    classes = stage(classes.select(F.monotonically_increasing_id().alias("class"), *same, "key", "c", weight, "part", second, "at"), "substring-classes")
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("class"), *same, "key", "c", weight, "part", "at"), "substring-classes")
 
     living = _alive(classes, ["part"], "level-0")
-    keys = stage(classes.select("class", "key", "c").join(living.select("class"), "class"), "substring-keys")
-    texts = join_counted(source.select("key", "text"), keys, ["key"], total).select("class", "text").distinct()
-    now = texts.join(living, "class").join(classes.select("class", "s1", "s2"), "class").select("class", "weight", "s1", "s2", "text", "at")
+    columns = ["class", "weight", "s1", "s2", "text", "at"]
+    keys = stage(living.join(classes.select("class", "weight", "key", "c", "s1", "s2"), "class"), "substring-keys")
+    now = source.select("key", "text").join(keys.filter("weight = 1"), "key").select(*columns)  # one row each
+    copies = join_counted(source.select("key", "text"), keys.filter("weight > 1").select("key", "c", "class"), ["key"], total).select("class", "text").distinct()
+    now = now.unionByName(copies.join(keys.drop("key", "c"), "class").select(*columns))
     schema = "class long, weight long, s1 long, s2 long, text string, part array<long>, second array<long>, at array<int>"
     for i, (before, length) in enumerate(zip(levels[:-1], levels[1:], strict=True), 1):
         level = stage(now.mapInArrow(_next_level(window, before, length), schema), "substring-texts")
@@ -195,7 +200,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if i > 1:
             discard(last)
         last = level
-        now = level.select("class", "weight", "s1", "s2", "text").join(living.select("class", "at"), "class")
+        now = level.select("class", "weight", "s1", "s2", "text").join(living, "class")
         if living.isEmpty():
             break
     cut = now.filter("weight = 1").select("class", "text", "at").mapInArrow(_cut(window), "class long, n_removed long, kept_text string")

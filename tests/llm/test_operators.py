@@ -190,14 +190,14 @@ def test_substring_dedup(spark):
     assert sorted((repr(r.doc_id), r.n_words, r.n_removed) for r in got) == [("1", 61, 60), ("1", 62, 60), ("2", 62, 60), ("None", 51, 0), ("None", 61, 60)]
 
 
-@pytest.mark.parametrize("window", [2, 5, 12, 50])
+@pytest.mark.parametrize("window", [5, 13, 50])
 def test_substring_dedup_of_other_lengths(spark, window):
     """Every level against brute force; a text in a hot passage of a third of the rows."""
     rng = random.Random(window)
     rows = [(i, words(rng, rng.randrange(0, 90), 4 if window < 12 else 40) + (" hot" * 60 if i % 3 == 0 else ""), "", "") for i in range(40)]
     docs = [t.split() for _, t, *_ in rows]
     seen = Counter(tuple(w[i : i + window]) for w in docs for i in range(len(w) - window + 1))
-    got = {r.doc_id: r for r in substring_dedup.substring_dedup(table(spark, rows), window=window).collect()}
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(table(spark, rows), window=window, start=3).collect()}
     for i, w in enumerate(docs):
         gone = {j for k in range(len(w) - window + 1) if seen[tuple(w[k : k + window])] > 1 for j in range(k, k + window)}
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
