@@ -129,6 +129,11 @@ def _on_each(function):
     return run
 
 
+def _clean_lists(values: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else [clean_text(x) if t and x is not None else x for x, t in zip(v, yes, strict=True)] for v, yes in zip(values, text, strict=True)])
+
+
+clean_values = F.pandas_udf(_clean_lists, T.ArrayType(_TEXT))
 clean_value = F.pandas_udf(_on_each(clean_text), _TEXT)
 parse_timestamp = F.pandas_udf(_on_each(iso_text), _TEXT)
 

@@ -13,14 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-NAME_RULES = {  # words among a cluster's leading ones -> name, in order
-    "invoice": ["发票", "开票", "invoice", "税"],
-    "academic": ["journal", "conference", "论文", "会议", "期刊"],
-    "gambling": ["bbin", "葡京", "彩金", "casino"],
-    "adult": ["dating", "色情", "视频", "sex"],
-    "phishing": ["account", "password", "登录", "verify"],
-}
-
+from lumenmill.functions import fixed
+from lumenmill.operators.tfidf import first_keywords
 
 def sparse_rows(weights: DataFrame, index: DataFrame) -> DataFrame:
     """(record_id, features) from the long form and (token, idx)."""
@@ -86,10 +80,10 @@ def cluster_keywords(weights: DataFrame, labels: DataFrame, k: int = 20) -> Data
 def suggest_names(keywords: DataFrame) -> DataFrame:
     """(cluster_id, cluster_name) by the first twelve words."""
     words = keywords.filter("rank <= 12").groupBy("cluster_id").agg(F.collect_list("token").alias("words"))
-    name = F.lit(None).cast("string")
-    for label, signs in reversed(NAME_RULES.items()):
+    name = F.lit(fixed.CLUSTER_UNNAMED)
+    for label, signs in reversed(fixed.CLUSTER_NAMES.items()):
         name = F.when(F.arrays_overlap("words", F.array(*[F.lit(s) for s in signs])), label).otherwise(name)
-    return words.select("cluster_id", F.coalesce(name, F.lit("other")).alias("cluster_name"))
+    return words.select("cluster_id", name.alias("cluster_name"))
 
 
 def nearest_samples(clustered: DataFrame, model: KMeansModel, k: int = 10) -> DataFrame:
@@ -102,6 +96,14 @@ def nearest_samples(clustered: DataFrame, model: KMeansModel, k: int = 10) -> Da
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("cluster_id", "rank", "record_id", "distance")
 
 
+def describe_samples(samples: DataFrame, texts: DataFrame, keywords: DataFrame, k: int = 5) -> DataFrame:
+    """Nearest samples with their text and their top keywords joined by ' / '. texts: record_id,
+    text; keywords as tfidf.keyword_arrays makes them. Rows without either keep blanks."""
+    tops = first_keywords(keywords, k)
+    out = samples.join(texts.select("record_id", "text"), "record_id", "left").join(tops, "record_id", "left")
+    return out.select("cluster_id", "rank", "record_id", "distance", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("top_keywords", F.lit("")).alias("top_keywords"))
+
+
 def contingency(pairs: DataFrame) -> DataFrame:
     """(cluster_id, category, count) of rows with both."""
     return pairs.groupBy("cluster_id", "category").agg(F.count(F.lit(1)).alias("count"))
@@ -113,15 +115,16 @@ def top_categories(table: DataFrame, k: int = 3) -> DataFrame:
 
 
 def purity(table: DataFrame) -> DataFrame:
-    """category, total, main_cluster, share, spread (clusters with a tenth of it), verdict."""
+    """category, total, main_cluster, purity (three places), spread (clusters that hold any of it),
+    verdict."""
     total = F.sum("count").over(Window.partitionBy("category"))
     rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("count"), "cluster_id"))
-    ranked = table.withColumn("total", total).withColumn("rank", rank)
+    ranked = table.filter("count > 0").withColumn("total", total).withColumn("rank", rank)
     out = ranked.groupBy("category").agg(
-        F.max("total").alias("total"), F.max(F.when(F.col("rank") == 1, F.col("cluster_id"))).alias("main_cluster"), F.round(F.max(F.col("count") / F.col("total")), 6).alias("share"),
-        F.count_if(F.col("count") * 10 >= F.col("total")).alias("spread"),
+        F.max("total").alias("total"), F.max(F.when(F.col("rank") == 1, F.col("cluster_id"))).alias("main_cluster"), F.round(F.max(F.col("count") / F.col("total")), 3).alias("purity"),
+        F.count_distinct("cluster_id").alias("spread"),
     )
-    verdict = F.when((F.col("share") >= 0.6) & (F.col("spread") <= 2), "aligned").when(F.col("share") >= 0.4, "partial").otherwise("scattered")
+    verdict = F.when((F.col("purity") >= 0.6) & (F.col("spread") <= 2), "aligned").when(F.col("purity") >= 0.4, "partial").otherwise("scattered")
     return out.withColumn("verdict", verdict)
 
 

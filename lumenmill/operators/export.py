@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenmill.functions.fixed import UNCLASSIFIED
+from lumenmill.functions.text import is_missing
 
 
 def attach_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -52,11 +53,10 @@ def first_samples(df: DataFrame, k: int = 10, text: str = "text") -> DataFrame:
     return df.withColumn("rank", rank).filter(F.col("rank") <= k).select("category", "rank", "record_id", cut.alias("preview"))
 
 
-def markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
-    """A small result as a Markdown table."""
-    got = rows.limit(most).collect()
+def markdown(rows: DataFrame, title: str) -> str:
+    """A result as a Markdown table, all its rows; they stream through the driver."""
     lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    return "\n".join([*lines, *["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in got]]) + "\n"
+    return "\n".join([*lines, *["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.toLocalIterator()]]) + "\n"
 
 
 def length_stats(c: Column, df: DataFrame) -> DataFrame:
@@ -73,14 +73,19 @@ def length_stats(c: Column, df: DataFrame) -> DataFrame:
 
 def field_presence(df: DataFrame) -> DataFrame:
     """field, present, missing, missing_rate of each column: null and blank are missing."""
-    flat = F.array(*[F.struct(F.lit(c).alias("field"), (F.col(c).isNull() | (F.regexp_replace(F.col(c).cast("string"), r"(?U)^\s+|\s+$", "") == "")).alias("gone")) for c in df.columns])
+    flat = F.array(*[F.struct(F.lit(c).alias("field"), is_missing(F.col(c)).alias("gone")) for c in df.columns])
     rows = df.select(F.explode(flat).alias("f")).select("f.field", "f.gone")
     return rows.groupBy("field").agg(F.count_if(~F.col("gone")).alias("present"), F.count_if("gone").alias("missing"), F.round(F.avg(F.col("gone").cast("double")), 6).alias("missing_rate"))
 
 
 def json_field_stats(df: DataFrame, column: str) -> DataFrame:
-    """field, present, filled and the JSON types seen, over a column of JSON objects."""
-    obj = F.from_json(F.col(column), "map<string,string>")
-    flat = df.select(F.explode(obj).alias("field", "value"))
-    kind = F.when(F.col("value").isNull(), "null").when(F.col("value").rlike(r"^-?\d+$"), "int").when(F.col("value").rlike(r"^-?\d+\.\d+([eE][-+]?\d+)?$"), "float").when(F.col("value").isin("true", "false"), "bool").otherwise("other")
-    return flat.groupBy("field", kind.alias("kind")).agg(F.count(F.lit(1)).alias("present"), F.count_if(F.trim("value") != "").alias("filled"))
+    """field, kind, present, filled, present_rate: how many of the rows with an object have the key,
+    with a value of which type (int, float, bool, text, list, object, null), and not blank."""
+    obj = F.try_parse_json(F.col(column))
+    rows = df.select(obj.alias("o")).filter(F.schema_of_variant("o").startswith("OBJECT"))
+    flat = rows.select(F.expr("o"), F.explode(F.expr("cast(o as map<string, variant>)")).alias("field", "value"))
+    seen = F.schema_of_variant("value")
+    kind = F.when(seen == "VOID", "null").when(seen == "STRING", "text").when(seen == "BOOLEAN", "bool").when(seen.isin("BIGINT", "INT"), "int").when(seen.startswith("ARRAY"), "list").when(seen.startswith("OBJECT"), "object").otherwise("float")
+    blank = (seen == "VOID") | ((seen == "STRING") & is_missing(F.expr("try_variant_get(value, '$', 'string')")))
+    counted = flat.groupBy("field", kind.alias("kind")).agg(F.count(F.lit(1)).alias("present"), F.count_if(~blank).alias("filled"))
+    return counted.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))).select("field", "kind", "present", "filled", F.round(F.col("present") / F.col("n"), 6).alias("present_rate"))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from lumenmill.functions import fixed
 from lumenmill.functions.fixed import ACADEMIC1, ACADEMIC2, ADS, ADULT, COMMERCIAL, EMPTY, EMPTY_ID, GAMBLING, INVOICE, PHISH, UNCLASSIFIED, UNCLASSIFIED_ID
-from lumenmill.operators.tokens import lower_ascii
+from lumenmill.operators.tokens import exploded, lower_ascii
 
 COMBOS = ["strong_mismatch", "strong_susp", "combo_kw", "combo_short", "combo_dating"]
 
@@ -68,7 +68,7 @@ def keyword_hits(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     parts are among the tokens. Exploded distinct tokens meet the broadcast word parts, so the
     cost follows tokens, not tokens times words."""
     parts = vocabulary.select("category", "word_pos", "word", F.size("parts").alias("need"), F.explode(F.array_distinct("parts")).alias("token"))
-    flat = df.select("record_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    flat = exploded(df.withColumn("tokens", F.array_distinct("tokens")), "record_id")
     met = flat.join(F.broadcast(parts), "token")
     found = met.groupBy("record_id", "category", "word_pos", "word", "need").agg(F.count(F.lit(1)).alias("have"))
     need = vocabulary.select("category", "word_pos", F.size(F.array_distinct("parts")).alias("distinct_need"))
@@ -113,6 +113,12 @@ def best(scores: Column, priority: dict[str, int], least: float) -> Column:
     return F.when(ranked["s"] >= least, ranked["c"])
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that later filters leave where it is: as the one element of an exploded array.
+    A filter on a plain expression is moved below it, and the whole expression is computed twice."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def category_id(category: Column, scheme: Scheme) -> Column:
     ids = {**scheme.ids, UNCLASSIFIED: UNCLASSIFIED_ID, EMPTY: EMPTY_ID}
     return F.create_map(*[F.lit(x) for item in ids.items() for x in item])[category]
@@ -122,14 +128,14 @@ def classify(df: DataFrame, vocabulary: dict[str, list[str]], scheme: Scheme, ph
     """The rule pass: score()'s columns with category and cluster_id."""
     out = score(df, vocabulary, scheme, phish_weight)
     label = F.when(F.size("tokens") == 0, EMPTY).otherwise(F.coalesce(best(F.col("scores"), scheme.priority, least), F.lit(UNCLASSIFIED)))
-    return out.withColumn("category", label).withColumn("cluster_id", category_id(label, scheme))
+    return settled(out, "category", label).withColumn("cluster_id", category_id(F.col("category"), scheme))
 
 
 def distribution(labels: DataFrame) -> DataFrame:
     """category, count, pct of all rows (two places)."""
     counted = labels.groupBy("category").agg(F.count(F.lit(1)).alias("count"))
-    total = counted.agg(F.sum("count").alias("total"))
-    return counted.crossJoin(F.broadcast(total)).select("category", "count", F.round(F.lit(100.0) * F.col("count") / F.col("total"), 2).alias("pct"))
+    total = F.sum("count").over(Window.partitionBy())  # over a row for each category
+    return counted.select("category", "count", F.round(F.lit(100.0) * F.col("count") / total, 2).alias("pct"))
 
 
 def top_hit_words(labels: DataFrame, k: int = 20) -> DataFrame:
@@ -153,26 +159,63 @@ def near_misses(df: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
 
 
 def what_if(df: DataFrame, vocabulary: dict[str, list[str]], scheme: Scheme, configs: list[tuple[str, float, dict[str, int]]]) -> DataFrame:
-    """config, category, count under several phishing weights and priorities."""
-    parts = []
+    """config, category, count under several phishing weights and priorities: scored once at half
+    weight; only the share of the words changes with the weight, that of the structure stays."""
+    out = score(df, vocabulary, scheme, 0.5)
+    n = F.size(F.element_at("hits", PHISH))
+    labels = []
     for name, weight, priority in configs:
-        changed = Scheme(scheme.name, scheme.ids, priority, scheme.force_priority, weight, scheme.profile)
-        parts.append(classify(df, vocabulary, changed).groupBy("category").agg(F.count(F.lit(1)).alias("count")).select(F.lit(name).alias("config"), "category", "count"))
-    return reduce(DataFrame.unionByName, parts)
+        at = {c: F.element_at("scores", PHISH) - 0.5 * n + weight * n if c == PHISH else F.element_at("scores", c) for c in scheme.ids}
+        top = F.array_max(F.array(*[F.struct(at[c].alias("s"), F.lit(-p).alias("p"), F.lit(c).alias("c")) for c, p in priority.items()]))
+        label = F.when(F.size("tokens") == 0, EMPTY).when(top["s"] >= 1.0, top["c"]).otherwise(UNCLASSIFIED)
+        labels.append(F.struct(F.lit(name).alias("config"), label.alias("category")))
+    return out.select(F.explode(F.array(*labels)).alias("x")).groupBy("x.config", "x.category").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _evidence(labels: DataFrame, vocabulary: dict[str, list[str]], scheme: Scheme) -> DataFrame:
+    """labels (classify's columns) scored at half weight, with number_of words by category, and
+    whether structure speaks."""
+    known = [c for c in labels.columns if c not in ("hits", "scores", *COMBOS)]
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    out = score(labels.select(*known), vocabulary, scheme, 0.5)
+    return out.withColumn("structure", yes("display_domain_mismatch") | yes("url_suspicious") | yes("url_sender_mismatch"))
 
 
-def contamination(labels: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
-    """One row of diagnostics on the adult and phishing sets: how many rest on one word, on
-    structure alone, on links, and how many adult rows also had phishing evidence."""
+def contamination(labels: DataFrame, vocabulary: dict[str, list[str]], scheme: Scheme) -> DataFrame:
+    """One row of diagnostics on the adult and phishing sets. labels also has text."""
     adult, phish = F.col("category") == ADULT, F.col("category") == PHISH
-    n = lambda c: F.size(F.element_at("hits", c))
-    return labels.agg(
-        F.count_if(adult).alias("adult"), F.count_if(adult & (n(ADULT) == 1)).alias("adult_one_word"), F.count_if(adult & (n(PHISH) > 0)).alias("adult_with_phish_words"),
-        F.count_if(adult & (F.col("strong_mismatch") | F.col("strong_susp"))).alias("adult_with_structure"), F.count_if(phish).alias("phish"), F.count_if(phish & (n(PHISH) == 0)).alias("phish_structure_only"),
-        F.count_if(phish & F.col("combo_short")).alias("phish_short"),
+    n, s = (lambda c: F.size(F.element_at("hits", c))), (lambda c: F.element_at("scores", c))
+    english = ~F.coalesce("text", F.lit("")).rlike("[一-鿿]")
+    linked = F.exists("tokens", lambda t: F.lower(t) == "[url]")
+    helped = reduce(lambda a, b: a | b, [F.col(c) for c in COMBOS])
+    tie = (F.abs(s(ADULT) - s(PHISH)) < 1e-9) & (s(PHISH) > 0)
+    return _evidence(labels, vocabulary, scheme).agg(
+        F.count_if(adult).alias("adult"), F.count_if(adult & (n(PHISH) > 0)).alias("adult_with_phish_words"), F.count_if(adult & F.col("structure")).alias("adult_with_structure"),
+        F.count_if(adult & tie).alias("adult_tie_over_phish"), F.count_if(adult & (n(ADULT) <= 1)).alias("adult_one_word"), F.count_if(adult & english & linked & (F.size("tokens") <= 12)).alias("adult_english_bait"),
+        F.count_if(phish).alias("phish"), F.count_if(phish & helped).alias("phish_helped_by_structure"), F.count_if(phish & ~helped).alias("phish_words_only"),
     )
 
 
+def noise_words(labels: DataFrame, vocabulary: dict[str, list[str]], scheme: Scheme, k: int = 30) -> DataFrame:
+    """rank, word, count: the only adult word of adult rows that structure calls phishing."""
+    some = _evidence(labels.filter(F.col("category") == ADULT), vocabulary, scheme)
+    one = some.filter((F.size(F.element_at("hits", ADULT)) == 1) & F.col("structure")).select(F.element_at("hits", ADULT)[0].alias("word"))
+    counted = one.groupBy("word").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "word").limit(k)
+    return counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "word"))).select("rank", "word", "count")
+
+
+def stolen_phishing(labels: DataFrame, vocabulary: dict[str, list[str]], scheme: Scheme, k: int = 3) -> DataFrame:
+    """category, count, examples (the first k records): rows with two phishing words or more, as many
+    as of any category, that another label won."""
+    some = _evidence(labels, vocabulary, scheme)
+    n = {c: F.size(F.element_at("hits", c)) for c in scheme.ids}
+    lost = some.filter((n[PHISH] >= 2) & (n[PHISH] == F.greatest(*n.values())) & (F.col("category") != PHISH))
+    place = F.row_number().over(Window.partitionBy("category").orderBy("record_id"))
+    ranked = lost.select("category", "record_id", place.alias("r"))
+    first = F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= k, F.struct("r", F.col("record_id").cast("string").alias("id"))))), lambda x: x["id"])
+    return ranked.groupBy("category").agg(F.count(F.lit(1)).alias("count"), F.array_join(first, ",").alias("examples"))
+
+
 def _said(blob: Column, tokens: Column, words: list[str]) -> Column:
     """Any of the words as a token or anywhere in the blob."""
     pattern = "|".join(w.replace(".", r"\.") for w in words)
@@ -217,6 +260,13 @@ def fallback_rules(scheme: Scheme, blob: Column, tokens: Column, lang: Column) -
     return [r for r in rules if r[1] is not None]
 
 
+def force_audit(forced: DataFrame) -> DataFrame:
+    """The rows that force() gave a category: record_id, previous_category, category, cluster_id,
+    method, token_count, text_preview (200 characters)."""
+    some = forced.filter("method is not null")
+    return some.select("record_id", F.col("category").alias("previous_category"), F.col("forced_category").alias("category"), F.col("forced_id").alias("cluster_id"), "method", F.size("tokens").alias("token_count"), F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("text_preview"))
+
+
 def force(df: DataFrame, vocabulary: dict[str, list[str]], scheme: Scheme) -> DataFrame:
     """df with blob and a category column: rows labelled UNCLASSIFIED get a category by the rules
     at half the threshold, then by any score, then by the cascade; the others stay. Adds
@@ -227,6 +277,6 @@ def force(df: DataFrame, vocabulary: dict[str, list[str]], scheme: Scheme) -> Da
     rules = fallback_rules(scheme, F.col("blob"), F.col("tokens"), F.col("lang"))
     steps = [(best(F.col("scores"), scheme.force_priority, 1.0), "rule_min1"), (best(F.col("scores"), scheme.force_priority, 0.5), "rule_any"), (best(F.col("scores"), scheme.force_priority, 1e-12), "rule_weak")]
     choice = F.coalesce(*[F.when(c.isNotNull(), F.struct(c.alias("category"), F.lit(m).alias("method"))) for c, m in steps], *[F.when(cond, F.struct(F.lit(c).alias("category"), F.lit(m).alias("method"))) for cond, c, m in rules])
-    out = scored.withColumn("_choice", F.when(F.col("category") == UNCLASSIFIED, choice))
+    out = settled(scored, "_choice", F.when(F.col("category") == UNCLASSIFIED, choice))
     out = out.withColumn("forced_category", F.coalesce(F.col("_choice.category"), F.col("category"))).withColumn("method", F.col("_choice.method")).drop("_choice")
     return out.withColumn("forced_id", category_id(F.col("forced_category"), scheme))

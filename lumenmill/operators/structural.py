@@ -68,10 +68,12 @@ def same_registrable(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & ((a == b) | (labels & (F.substring_index(a, ".", -2) == F.substring_index(b, ".", -2))))
 
 
-def structural_features(df: DataFrame) -> DataFrame:
+def structural_features(df: DataFrame, keep: dict[str, Column] | None = None) -> DataFrame:
     """The twelve columns; df has record_id, from, sender, fromname, url, htmlurl, attach,
-    domainrep, subject, content (null counts as empty)."""
+    domainrep, subject, content (null counts as empty). keep: further columns of df's rows."""
+    keep = keep or {}
     out = df.select(
+        *[c.alias(name) for name, c in keep.items()],
         F.coalesce(F.col("record_id").cast("string"), F.lit("")).alias("record_id"),
         sender_domain(F.col("sender"), F.col("from")).alias("sender_domain"),
         display_name(F.col("from"), F.col("fromname")).alias("display_name"),
@@ -85,7 +87,7 @@ def structural_features(df: DataFrame) -> DataFrame:
     claims = (F.col("display_domain") != "") & (F.col("sender_domain") != "") & ~same_registrable(F.col("display_domain"), F.col("sender_domain"))
     strange = (F.col("sender_domain") != "") & (F.col("url_count") > 0) & ~F.exists("url_domains", lambda d: same_registrable(d, F.col("sender_domain")))
     return out.withColumn("display_domain_mismatch", claims).withColumn("url_sender_mismatch", strange).select(
-        "record_id", "sender_domain", "display_name", "display_domain", "display_domain_mismatch", "url_count", "url_domains", "url_sender_mismatch", "url_suspicious", "domainrep_max", "has_attach", "lang"
+        "record_id", "sender_domain", "display_name", "display_domain", "display_domain_mismatch", "url_count", "url_domains", "url_sender_mismatch", "url_suspicious", "domainrep_max", "has_attach", "lang", *keep
     )
 
 

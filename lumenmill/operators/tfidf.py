@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenmill.functions import fixed
+from lumenmill.operators.tokens import exploded
+
 
 def term_counts(df: DataFrame) -> DataFrame:
     """(record_id, token, tf) of (record_id, tokens)."""
-    return df.select("record_id", F.explode("tokens").alias("token")).groupBy("record_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return exploded(df, "record_id").groupBy("record_id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
@@ -61,6 +64,12 @@ def global_terms(weights: DataFrame, documents: int | DataFrame, k: int | None =
     return means.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), "token"))).select("rank", "token", F.round("mean", 8).alias("score"))
 
 
+def placeholder_ranks(terms: DataFrame) -> DataFrame:
+    """(token, rank, score) of every placeholder in global_terms; null and 0 for those not there."""
+    every = terms.sparkSession.createDataFrame([(p,) for p in fixed.PLACEHOLDERS], "token string")
+    return every.join(terms, "token", "left").select("token", "rank", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def shape(weights: DataFrame, documents: DataFrame) -> DataFrame:
     """One row: rows, columns, non-zeros, density."""
     cells = weights.agg(F.count(F.lit(1)).alias("nnz"), F.count_distinct("token").alias("n_features"))

@@ -11,17 +11,21 @@ from lumenmill.functions import fixed
 from lumenmill.operators.tokens import has_placeholder
 
 
-def word_in(blob: Column, word: str) -> Column:
-    """Letters and digits at word borders, other words anywhere."""
-    return blob.rlike(rf"(?U)\b{word}\b") if re.fullmatch("[a-z0-9]+", word) else blob.contains(word)
-
-
 def theme_scores(blob: Column, themes: dict[str, list[str]] | None = None) -> Column:
-    """Map theme -> number of its words in the blob."""
+    """Map theme -> number of its words in the blob. Words of letters and digits count at word
+    borders and are looked for by one pattern for all themes; other words count anywhere, those with
+    Chinese characters only where the blob has any."""
     themes = fixed.THEMES if themes is None else themes
+    plain = sorted({w for words in themes.values() for w in words if re.fullmatch("[a-z0-9]+", w)})
+    said = F.array_distinct(F.regexp_extract_all(blob, F.lit(rf"(?U)\b({'|'.join(plain)})\b"), F.lit(1))) if plain else F.array().cast("array<string>")
     pairs = []
     for theme, words in themes.items():
-        total = sum((word_in(blob, w).cast("int") for w in words), F.lit(0))
+        own = [w for w in words if w in plain]
+        total = F.size(F.array_intersect(said, F.array(*[F.lit(w) for w in own]))) if own else F.lit(0)
+        for chinese in (True, False):
+            rest = [w for w in words if w not in plain and bool(re.search("[一-鿿]", w)) == chinese]
+            inside = sum((blob.contains(w).cast("int") for w in rest), F.lit(0))
+            total += F.when(blob.rlike("[一-鿿]"), inside).otherwise(0) if chinese and rest else inside if rest else F.lit(0)
         pairs += [F.lit(theme), total]
     return F.create_map(*pairs)
 
@@ -33,8 +37,14 @@ def best_theme(scores: Column, order: list[str] | None = None) -> Column:
     return F.when(ranked["s"] > 0, ranked["t"])
 
 
+def text_and_tokens(text: Column, tokens: Column) -> Column:
+    """What themes are looked for in."""
+    return F.lower(F.concat(F.coalesce(text, F.lit("")), F.lit(" "), F.array_join(tokens, " ")))
+
+
 def profile(df: DataFrame) -> DataFrame:
-    """df (record_id, blob, tokens, suspicious): adds theme_hits, theme and four_class."""
+    """df (record_id, blob, tokens, suspicious): adds theme_hits, theme and four_class. The blob is
+    the text and the tokens, lower case."""
     out = df.withColumn("theme_hits", theme_scores(F.col("blob")))
     found = best_theme(F.col("theme_hits"))
     blank = (F.trim("blob") == "") & (F.size("tokens") == 0)

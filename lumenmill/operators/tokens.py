@@ -84,7 +84,18 @@ def kept(t: Column, stopwords: list[str] | None = None) -> Column:
 
 
 def tokens(c: Column, stopwords: list[str] | None = None) -> Column:
-    return F.filter(F.transform(runs(c), normal), lambda t: kept(t, stopwords))
+    """Native tokens, normalised and filtered. Runs are placeholders, Chinese or letters, so what
+    normal() and kept() ask of each token is known."""
+    words = fixed.STOPWORDS if stopwords is None else stopwords
+    found = F.regexp_extract_all(mask_email(F.coalesce(c, F.lit(""))), F.lit(f"({fixed.KEEP})"), F.lit(1))
+    low = F.transform(found, lambda t: F.when(t.startswith("["), t).otherwise(F.lower(t)))
+    return F.filter(low, lambda t: (F.length(t) > 1) & ~t.isin(words))
+
+
+def exploded(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns with each token. Null filters after an outer explode: a plain one would make the
+    optimiser compute the tokens twice, once to see that there are any."""
+    return df.select(*columns, F.explode_outer("tokens").alias("token")).filter("token is not null")
 
 
 def without(tokens: Column, words: list[str]) -> Column:
@@ -122,7 +133,7 @@ def token_stats(df: DataFrame) -> DataFrame:
 
 def top_tokens(df: DataFrame, group: str, k: int, placeholders: bool = False) -> DataFrame:
     """(group, rank, token, count) of the k commonest tokens of each group; ties by token."""
-    flat = df.select(group, F.explode("tokens").alias("token"))
+    flat = exploded(df, group)
     flat = flat if placeholders else flat.filter(~is_placeholder(F.col("token")))
     counted = flat.groupBy(group, "token").agg(F.count(F.lit(1)).alias("count"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("count"), "token"))

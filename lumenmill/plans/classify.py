@@ -8,25 +8,30 @@ from lumenmill.functions import fixed
 from lumenmill.functions.fixed import PHISH, UNCLASSIFIED
 from lumenmill.operators import rules, structural, themes, tokens
 from lumenmill.operators.rules import SCHEME1, SCHEME2
-from lumenmill.plans.tables import BASE, COMBOS, LABELS, MSG, STRUCT, TOK, VOCABULARY, best_sql, hit_sql, label_sql, messages, names, q, score_sql, scored_input, token_table
+from lumenmill.plans.tables import BASE, COMBOS, LABELS, MSG, STRUCT, TOK, VOCABULARY, VOCABULARY2, best_sql, hit_sql, label_sql, messages, names, q, score_sql, scored_input, token_table
 
 CATS = list(SCHEME1.ids)
-WEIGHTS = [0.5, 1.0, 2.0]
-PHISH_FIRST = {**{c: p + 1 for c, p in SCHEME1.priority.items()}, PHISH: 0}
-CONFIGS = [(f"weight {w}", w, SCHEME1.priority) for w in WEIGHTS] + [("phishing first 0.5", 0.5, PHISH_FIRST), ("phishing first 1.0", 1.0, PHISH_FIRST)]
+CATS2 = list(SCHEME2.ids)
+#: The five settings of the diagnostics: words at half weight, three quarters and whole, with the
+#: force pass's priority, then with phishing first.
+CONFIGS = [("0.5, adult first", 0.5, SCHEME2.force_priority), ("0.75, adult first", 0.75, SCHEME2.force_priority), ("1.0, adult first", 1.0, SCHEME2.force_priority), ("0.75, phishing first", 0.75, SCHEME2.priority), ("1.0, phishing first", 1.0, SCHEME2.priority)]
 
 
 def _labels(spark, sf):
     return rules.classify(scored_input(spark, sf), VOCABULARY, SCHEME1)
 
 
+def _labels2(spark, sf):
+    return rules.classify(scored_input(spark, sf), VOCABULARY2, SCHEME2)
+
+
 def _forced(spark, sf):
-    labels = _labels(spark, sf).withColumn("blob", F.lower("text"))
+    labels = _labels(spark, sf).withColumn("blob", rules.text_blob(F.lit(""), F.col("text"), F.col("source")))
     return rules.force(labels, VOCABULARY, SCHEME1)
 
 
 def _profiled(spark, sf):
-    df = scored_input(spark, sf).withColumn("blob", F.array_join("tokens", " "))
+    df = scored_input(spark, sf).withColumn("blob", themes.text_and_tokens(F.col("text"), F.col("tokens")))
     return themes.profile(df.withColumn("suspicious", F.coalesce("display_domain_mismatch", F.lit(False)) | F.coalesce("url_suspicious", F.lit(False)) | F.coalesce("url_sender_mismatch", F.lit(False))))
 
 
@@ -52,7 +57,7 @@ def _force_sql() -> str:
     best = [(best_sql(SCHEME1, least, SCHEME1.force_priority), method) for least, method in ((1.0, "rule_min1"), (0.5, "rule_any"), (1e-12, "rule_weak"))]
     category = " ".join([f"WHEN {b} IS NOT NULL THEN {b}" for b, _ in best] + [f"WHEN {c} THEN {q(cat)}" for c, cat, _ in rules_])
     method = " ".join([f"WHEN {b} IS NOT NULL THEN {q(m)}" for b, m in best] + [f"WHEN {c} THEN {q(m)}" for c, _, m in rules_])
-    return f"""{LABELS}, blobbed AS (SELECT *, lower(coalesce(text, '')) AS blob FROM lab), forced AS (
+    return f"""{LABELS}, blobbed AS (SELECT *, lower(' ' || coalesce(text, '') || ' ' || coalesce(source, '')) AS blob FROM (SELECT lab.*, d.source FROM lab JOIN documents d ON d.doc_id = lab.record_id)), forced AS (
   SELECT record_id, category AS previous_category, CASE WHEN category <> {q(UNCLASSIFIED)} THEN category ELSE CASE {category} END END AS forced_category,
     CASE WHEN category = {q(UNCLASSIFIED)} THEN CASE {method} END END AS method FROM blobbed
 )"""
@@ -60,7 +65,7 @@ def _force_sql() -> str:
 
 def _theme_sql() -> str:
     def count(words):
-        parts = [f"(CASE WHEN regexp_matches(blob, '\\b{w}\\b') THEN 1 ELSE 0 END)" if w.isascii() else f"(CASE WHEN contains(blob, {q(w)}) THEN 1 ELSE 0 END)" for w in words]
+        parts = [f"(CASE WHEN list_contains(runs, {q(w)}) THEN 1 ELSE 0 END)" if w.isascii() and w.isalnum() else f"(CASE WHEN contains(blob, {q(w)}) THEN 1 ELSE 0 END)" for w in words]
         return " + ".join(parts)
 
     order = ["porn_media", "porn_dating", "health_pharma", "gambling", "phish_account", "phish_scam", "invoice", "academic", "commercial"]
@@ -68,10 +73,10 @@ def _theme_sql() -> str:
     best = "CASE WHEN " + top + " = 0 THEN NULL " + " ".join(f"WHEN {t} = {top} THEN '{t}'" for t in order) + " END"
     four = "CASE WHEN " + top + " = 0 THEN NULL " + " ".join(f"WHEN {t} = {top} THEN {q(c)}" for t, c in fixed.FOUR_CLASSES.items()) + " END"
     return f"""{BASE}, b AS (
-  SELECT tok.record_id, tokens, array_to_string(tokens, ' ') AS blob, coalesce(display_domain_mismatch, false) OR coalesce(url_suspicious, false) OR coalesce(url_sender_mismatch, false) AS suspicious FROM tok LEFT JOIN st USING (record_id)
+  SELECT tok.record_id, tokens, lower(coalesce(text, '') || ' ' || array_to_string(tokens, ' ')) AS blob, regexp_extract_all(lower(coalesce(text, '') || ' ' || array_to_string(tokens, ' ')), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS runs, coalesce(display_domain_mismatch, false) OR coalesce(url_suspicious, false) OR coalesce(url_sender_mismatch, false) AS suspicious FROM tok LEFT JOIN st USING (record_id)
 ), th AS (SELECT *, {", ".join(f"{count(w)} AS {t}" for t, w in fixed.THEMES.items())} FROM b), pr AS (
-  SELECT *, CASE WHEN len(tokens) = 0 THEN '__empty__' ELSE coalesce({best}, CASE WHEN suspicious THEN 'phish_account' END, '__none__') END AS theme,
-    CASE WHEN len(tokens) = 0 THEN '空样本' ELSE coalesce({four}, CASE WHEN NOT suspicious AND regexp_matches(blob, '[一-鿿]') THEN '商业·学术·博彩营销' ELSE '网络钓鱼与诈骗' END) END AS four_class FROM th
+  SELECT *, CASE WHEN trim(blob) = '' AND len(tokens) = 0 THEN '__empty__' ELSE coalesce({best}, CASE WHEN suspicious THEN 'phish_account' END, '__none__') END AS theme,
+    CASE WHEN trim(blob) = '' AND len(tokens) = 0 THEN '空样本' ELSE coalesce({four}, CASE WHEN NOT suspicious AND regexp_matches(blob, '[一-鿿]') THEN '商业·学术·博彩营销' ELSE '网络钓鱼与诈骗' END) END AS four_class FROM th
 )"""
 
 
@@ -90,14 +95,30 @@ def _residual(spark, sf):
     return rest.groupBy(kind.alias("residual_type")).agg(F.count(F.lit(1)).alias("count"))
 
 
+LABELS2 = f"{BASE}, {score_sql(SCHEME2, None, 'sc', VOCABULARY2)}, {label_sql(SCHEME2)}"
+#: The labels with hits and scores at half weight.
+EVIDENCE = f"{LABELS2}, {score_sql(SCHEME2, 0.5, 'ev', VOCABULARY2)}, e AS (SELECT ev.*, lab.category, strong_mismatch OR strong_susp OR away AS structure FROM ev JOIN (SELECT record_id, category FROM lab) AS lab USING (record_id))"
+
+
 def _what_if_sql() -> str:
-    parts, selects = [BASE], []
-    for w in WEIGHTS:
-        parts.append(score_sql(SCHEME1, w, f"w{str(w).replace('.', '_')}"))
-    for i, (name, w, priority) in enumerate(CONFIGS):
-        parts.append(label_sql(SCHEME1, w, priority, f"c{i}", f"w{str(w).replace('.', '_')}"))
-        selects.append(f"SELECT {q(name)} AS config, category, count(*) AS count FROM c{i} GROUP BY category")
-    return ", ".join(parts) + " " + " UNION ALL ".join(selects)
+    p, selects = CATS2.index(PHISH), []
+    for name, weight, priority in CONFIGS:
+        at = {c: f"(s{i} - 0.5 * len(h{i}) + {weight} * len(h{i}))" if i == p else f"s{i}" for i, c in enumerate(CATS2)}
+        top = "greatest(" + ", ".join(at.values()) + ")"
+        cases = " ".join(f"WHEN {at[c]} = {top} THEN {q(c)}" for c, _ in sorted(priority.items(), key=lambda x: x[1]))
+        selects.append(f"SELECT {q(name)} AS config, CASE WHEN len(tokens) = 0 THEN {q(fixed.EMPTY)} WHEN {top} < 1 THEN {q(UNCLASSIFIED)} {cases} END AS category FROM ev")
+    return f"{BASE}, {score_sql(SCHEME2, 0.5, 'ev', VOCABULARY2)}, x AS ({' UNION ALL '.join(selects)}) SELECT config, category, count(*) AS count FROM x GROUP BY ALL"
+
+
+def _contamination_sql() -> str:
+    a, p = CATS2.index(fixed.ADULT), CATS2.index(PHISH)
+    adult, phish = f"category = {q(fixed.ADULT)}", f"category = {q(PHISH)}"
+    helped = "(strong_mismatch OR strong_susp OR combo_kw OR combo_short OR combo_dating)"
+    columns = {
+        "adult": adult, "adult_with_phish_words": f"{adult} AND len(h{p}) > 0", "adult_with_structure": f"{adult} AND structure", "adult_tie_over_phish": f"{adult} AND abs(s{a} - s{p}) < 1e-9 AND s{p} > 0", "adult_one_word": f"{adult} AND len(h{a}) <= 1",
+        "adult_english_bait": f"{adult} AND NOT regexp_matches(coalesce(text, ''), '[一-鿿]') AND len(list_filter(tokens, lambda t: lower(t) = '[url]')) > 0 AND len(tokens) <= 12", "phish": phish, "phish_helped_by_structure": f"{phish} AND {helped}", "phish_words_only": f"{phish} AND NOT {helped}",
+    }
+    return f"{EVIDENCE} SELECT " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in columns.items()) + " FROM e"
 
 
 def _top_hits_sql(k: int = 20) -> str:
@@ -116,13 +137,17 @@ QUERIES = {
     "keyword_hits": lambda s, d: rules.keyword_hits(token_table(s, d), rules.vocabulary_frame(s, VOCABULARY)),
     "rule_scores": lambda s, d: rules.score(scored_input(s, d), VOCABULARY, SCHEME1).select("record_id", *[F.element_at("scores", c).alias(f"s{i}") for i, c in enumerate(CATS)], *rules.COMBOS),
     "rule_labels": lambda s, d: _labels(s, d).select("record_id", "category", "cluster_id"),
-    "rule_labels_balanced": lambda s, d: rules.classify(scored_input(s, d), VOCABULARY, SCHEME2).select("record_id", "category", "cluster_id"),
+    "rule_labels_balanced": lambda s, d: _labels2(s, d).select("record_id", "category", "cluster_id"),
     "rule_category_distribution": lambda s, d: rules.distribution(_labels(s, d)),
     "top_hit_words": lambda s, d: rules.top_hit_words(_labels(s, d)).select("category", "token", "count", "rank"),
     "signal_counts": lambda s, d: rules.signal_counts(_labels(s, d)),
     "near_misses": lambda s, d: rules.near_misses(token_table(s, d), VOCABULARY),
-    "weight_what_if": lambda s, d: rules.what_if(scored_input(s, d), VOCABULARY, SCHEME1, CONFIGS),
-    "contamination": lambda s, d: rules.contamination(_labels(s, d), VOCABULARY),
+    "weight_what_if": lambda s, d: rules.what_if(scored_input(s, d), VOCABULARY2, SCHEME2, CONFIGS),
+    "contamination": lambda s, d: rules.contamination(_labels2(s, d), VOCABULARY2, SCHEME2),
+    "noise_words": lambda s, d: rules.noise_words(_labels2(s, d), VOCABULARY2, SCHEME2),
+    "stolen_phishing": lambda s, d: rules.stolen_phishing(_labels2(s, d), VOCABULARY2, SCHEME2),
+    "force_audit": lambda s, d: rules.force_audit(_forced(s, d)),
+    "taxonomy_words": lambda s, d: rules.vocabulary_frame(s, VOCABULARY).select("category", "word").distinct().join(rules.keyword_hits(token_table(s, d), rules.vocabulary_frame(s, VOCABULARY)).groupBy("category", "word").agg(F.count_distinct("record_id").alias("rows")), ["category", "word"], "left").fillna(0),
     "force_labels": lambda s, d: _forced(s, d).select("record_id", F.col("category").alias("previous_category"), "forced_category", "method"),
     "force_method_stats": lambda s, d: _forced(s, d).filter("method is not null").groupBy("method", "forced_category").agg(F.count(F.lit(1)).alias("count")),
     "theme_multi_label": lambda s, d: themes.multi_label(_profiled(s, d)),
@@ -148,13 +173,17 @@ ORACLES = {
     "keyword_hits": f"WITH {TOK} SELECT record_id, category, word_pos, word FROM tok JOIN {_words} ON list_has_all(tokens, string_split(word, ' '))",
     "rule_scores": f"{BASE}, {score_sql()} SELECT record_id, {', '.join(f's{i}' for i in range(5))}, {COMBOS} FROM sc",
     "rule_labels": f"{LABELS} SELECT record_id, category, cluster_id FROM lab",
-    "rule_labels_balanced": f"{BASE}, {score_sql(SCHEME2)}, {label_sql(SCHEME2)} SELECT record_id, category, cluster_id FROM lab",
+    "rule_labels_balanced": f"{LABELS2} SELECT record_id, category, cluster_id FROM lab",
     "rule_category_distribution": f"{LABELS} SELECT category, count(*) AS count, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM lab GROUP BY category",
     "top_hit_words": _top_hits_sql(),
     "signal_counts": f"{LABELS} SELECT " + ", ".join(f"count(*) FILTER ({c}) AS {c}" for c in rules.COMBOS) + f" FROM lab WHERE category = {q(PHISH)}",
     "near_misses": f"WITH {TOK}, n AS (" + " UNION ALL ".join(f"SELECT {q(c)} AS category FROM tok WHERE len({hit_sql(c)}) = 1" for c in CATS) + ") SELECT category, count(*) AS count FROM n GROUP BY category",
     "weight_what_if": _what_if_sql(),
-    "contamination": f"{LABELS} SELECT count(*) FILTER (category = {q(fixed.ADULT)}) AS adult, count(*) FILTER (category = {q(fixed.ADULT)} AND len(h{_a}) = 1) AS adult_one_word, count(*) FILTER (category = {q(fixed.ADULT)} AND len(h{_p}) > 0) AS adult_with_phish_words, count(*) FILTER (category = {q(fixed.ADULT)} AND (strong_mismatch OR strong_susp)) AS adult_with_structure, count(*) FILTER (category = {q(PHISH)}) AS phish, count(*) FILTER (category = {q(PHISH)} AND len(h{_p}) = 0) AS phish_structure_only, count(*) FILTER (category = {q(PHISH)} AND combo_short) AS phish_short FROM lab",
+    "contamination": _contamination_sql(),
+    "noise_words": f"{EVIDENCE}, w AS (SELECT h{CATS2.index(fixed.ADULT)}[1] AS word FROM e WHERE category = {q(fixed.ADULT)} AND len(h{CATS2.index(fixed.ADULT)}) = 1 AND structure) SELECT row_number() OVER (ORDER BY count(*) DESC, word)::INTEGER AS rank, word, count(*) AS count FROM w GROUP BY word QUALIFY rank <= 30",
+    "stolen_phishing": f"{EVIDENCE}, l AS (SELECT category, record_id, row_number() OVER (PARTITION BY category ORDER BY record_id) AS r FROM e WHERE category <> {q(PHISH)} AND len(h{CATS2.index(PHISH)}) >= 2 AND len(h{CATS2.index(PHISH)}) = greatest({', '.join(f'len(h{i})' for i in range(len(CATS2)))})) SELECT category, count(*) AS count, string_agg(record_id::VARCHAR, ',' ORDER BY r) FILTER (r <= 3) AS examples FROM l GROUP BY category",
+    "force_audit": f"{_force_sql()} SELECT record_id, previous_category, forced_category AS category, (CASE forced_category {' '.join(f'WHEN {q(c)} THEN {i}' for c, i in SCHEME1.ids.items())} END)::INTEGER AS cluster_id, method, token_count, text_preview FROM forced JOIN (SELECT record_id, len(tokens)::INTEGER AS token_count, coalesce(text, '')[1:200] AS text_preview FROM tok) USING (record_id) WHERE method IS NOT NULL",
+    "taxonomy_words": f"WITH {TOK}, v AS (SELECT DISTINCT category, word FROM {_words}) SELECT category, word, count(record_id) AS rows FROM v LEFT JOIN tok ON list_has_all(tokens, string_split(word, ' ')) GROUP BY ALL",
     "force_labels": f"{_force_sql()} SELECT * FROM forced",
     "force_method_stats": f"{_force_sql()} SELECT method, forced_category, count(*) AS count FROM forced WHERE method IS NOT NULL GROUP BY ALL",
     "theme_multi_label": f"{_theme_sql()}, f AS (" + " UNION ALL ".join(f"SELECT '{t}' AS theme, {t} AS n FROM pr" for t in fixed.THEMES) + ") SELECT theme, count(*) AS rows, sum(n)::BIGINT AS hits FROM f WHERE n > 0 GROUP BY theme",

@@ -6,6 +6,7 @@ from functools import partial
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumenmill.functions import fixed, text, udfs
 from lumenmill.functions.fixed import EMPTY, UNCLASSIFIED
@@ -21,7 +22,10 @@ INLINE = """(VALUES
 PAIRS = "(VALUES ('a.example.com', 'mail.example.com'), ('example.com', 'example.com'), ('com', 'com'), ('com', 'example.com'), ('a.b', 'c.b'), ('', 'x.y'), ('x.co.uk', 'y.co.uk')) AS p(a, b)"
 LINKS = "(VALUES (1, 'http://bank.example/LOGIN?x'), (2, 'https://a.example/news'), (3, 'x index.php?email=1'), (4, 'AUTHor'), (5, ''), (6, NULL)) AS u(id, url)"
 WORDS = "(VALUES (1, 1, 'ADS', 'en', 'license'), (1, 2, 'ADS', 'en', 'offer'), (2, 1, 'ADS', 'en', 'license'), (2, 2, 'PHISH', 'en', 'que'), (2, 3, 'ADS', 'zh', ' '), (3, 1, 'ADS', 'en', 'sale'), (3, 2, 'PHISH', 'en', 'que')) AS w(batch, pos, category, lang, word)"
-REVIEWS = f"(VALUES (1, '{UNCLASSIFIED}', 'a b', true), (2, '{UNCLASSIFIED}', 'c', false), (3, 'ADS', 'd e', false)) AS r(record_id, suggested_category, words, short_content)"
+#: Reviews of all documents, valid in both engines: some keep a row unclassified, some don't know whether it is short.
+REVIEWS = f"(SELECT doc_id AS record_id, CASE WHEN source = 'src1' THEN 'ADS' WHEN source = 'src2' THEN '{UNCLASSIFIED}' ELSE '{fixed.KEEP_UNCLASSIFIED}' END AS suggested_category, concat(lang, ' ', source) AS words, CASE WHEN lang = 'de' THEN 'because' END AS reason, CASE WHEN lang <> 'es' THEN length(text) < 400 END AS short_content FROM documents) AS r"
+#: An audit of dropped letters over all documents.
+AUDIT = "(SELECT doc_id AS record_id, lang AS left, source AS letters, substring(text, 1, 3) AS right FROM documents) AS a"
 PROPOSAL = [(fixed.ADS, "en", "license"), (fixed.ADS, "en", "reserved"), (fixed.PHISH, "en", "que"), (fixed.PHISH, "en", "nosuchword"), (fixed.ACADEMIC1, "en", "les des"), (fixed.GAMBLING, "en", "atat")]
 ORDER = [*SCHEME1.ids, UNCLASSIFIED, EMPTY]
 #: The reference's scan of K.
@@ -117,14 +121,50 @@ def _normalised(spark, sf):
     return d.withColumn("n", udfs.normalise(F.col("text"))).select("record_id", F.col("n.text").alias("text"), F.to_json("n.counters").alias("counters"), F.size("n.audit").alias("audited"))
 
 
+def _over(spark, sf, values):
+    read(spark, sf, "documents").createOrReplaceTempView("documents")
+    return inline(spark, values)
+
+
+def _reviews(spark, sf):
+    out = vocab.enforce_policy(_over(spark, sf, REVIEWS).withColumn("suggested_keywords", F.split("words", " ")))
+    return out.select("record_id", "suggested_category", "downgraded", "reason", F.array_join("suggested_keywords", " ").alias("words"))
+
+
 def _audit(spark, sf):
-    d = inline(spark, INLINE.replace("VALUES", "VALUES (8, 's', '买 A 股票 增值 w 发票 b 票 w 发票', ''),")).select(F.col("id").alias("record_id"), F.explode(udfs.normalise(F.col("content"))["audit"]).alias("a"))
-    return vocab.audit_summary(d.select("record_id", "a.left", "a.letters", "a.right"))
+    out = vocab.audit_summary(_over(spark, sf, AUDIT))
+    return out.select("letters", "count", F.array_join("neighbours", ",").alias("neighbours"), F.array_join("samples", "|").alias("samples"))
+
+
+def _selected(spark, sf):
+    """Every row of the review classes, and what a draw takes of them and of a boundary class."""
+    rows = _labels_for(spark, sf)
+    drawn = vocab.select_samples(rows, [fixed.ADS, UNCLASSIFIED], 7, [fixed.PHISH, UNCLASSIFIED], 3)
+    whole = vocab.select_samples(rows, [UNCLASSIFIED], 0, full=True)
+    return drawn.unionByName(whole.withColumn("reviewed", F.concat("reviewed", F.lit(" all")))).groupBy("reviewed").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _lang_labels(spark, sf):
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), F.col("lang").alias("cluster_id"))
+
+
+def _described(spark, sf):
+    """The first documents of each language as samples, with text and top keywords."""
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("record_id"))
+    samples = _lang_labels(spark, sf).withColumn("rank", rank).filter("rank <= 10").withColumn("distance", F.lit(0.0))
+    weights = _weights(spark, sf)[0].withColumn("tfidf", F.round("tfidf", 6))
+    return cluster.describe_samples(samples, _documents(spark, sf), tfidf.keyword_arrays(tfidf.top_terms(weights, 20)))
 
 
 def _pages_clean(spark, sf):
+    """Entities, width and white space of every page's text, and the time of every event as text."""
     p = read(spark, sf, "pages")
-    return p.select("page_id", F.length(udfs.clean_value(F.col("html"))).alias("clean_chars"), udfs.parse_timestamp(F.lit("2020-01-01T00:00:00Z")).alias("ts"))
+    return p.select("page_id", udfs.clean_value(F.col("html")).alias("clean"))
+
+
+def _event_times(spark, sf):
+    e = read(spark, sf, "events")
+    return e.select("event_id", udfs.parse_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("iso"), udfs.parse_timestamp(F.col("event_type")).alias("none"))
 
 
 def _host_pairs(spark, sf):
@@ -141,10 +181,17 @@ def _labels_for(spark, sf):
 
 
 def _batches(spark, sf):
-    picked = _documents(spark, sf).filter(F.length("text") <= 60).select("record_id")
+    """The review sample, every row that the rules leave unclassified, in batches of 7."""
+    picked = vocab.select_samples(_labels_for(spark, sf), [UNCLASSIFIED], 0, full=True).select("record_id")
     return vocab.assign_batches(picked, 7)
 
 
+def _names_sql() -> str:
+    cases = " ".join(f"WHEN list_has_any(words, {names(w)}) THEN {q(n)}" for n, w in fixed.CLUSTER_NAMES.items())
+    return f"""{tfidf_sql()}, z AS (SELECT lang AS cluster_id, count(*) AS size FROM documents GROUP BY lang), m AS (SELECT lang AS cluster_id, CASE token WHEN 'que' THEN 'login' WHEN 'und' THEN 'journal' ELSE token END AS token, sum(tfidf) AS s FROM v JOIN documents ON doc_id = record_id GROUP BY ALL),
+ x AS (SELECT cluster_id, token, s / size AS mean FROM m JOIN z USING (cluster_id)), kk AS (SELECT cluster_id, token FROM x QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY mean DESC, token) <= 12), ww AS (SELECT cluster_id, list(token) AS words FROM kk GROUP BY cluster_id) SELECT cluster_id, CASE {cases} ELSE {q(fixed.CLUSTER_UNNAMED)} END AS cluster_name FROM ww"""
+
+
 _m = partial(inline, values=INLINE)
 QUERIES = {
     "field_presence": lambda s, d: export.field_presence(read(s, d, "documents")),
@@ -190,7 +237,17 @@ QUERIES = {
     "sample_per_category": lambda s, d: vocab.sample_per_category(_record_labels(s, d), 5),
     "review_rows": lambda s, d: vocab.review_rows(export.attach_labels(token_table(s, d).select("record_id", "tokens", "text"), _record_labels(s, d))).select("record_id", "current_category", "token_count", "short_content", F.size("tokens").alias("shown")),
     "batch_assign": _batches,
-    "policy": lambda s, d: vocab.enforce_policy(inline(s, REVIEWS).withColumn("suggested_keywords", F.split("words", " "))).select("record_id", "downgraded", F.array_join("suggested_keywords", " ").alias("words")),
+    "policy": _reviews,
+    "select_samples": _selected,
+    "described_samples": _described,
+    "cluster_names": lambda s, d: cluster.suggest_names(cluster.cluster_keywords(_weights(s, d)[0].withColumn("token", F.when(F.col("token") == "que", "login").when(F.col("token") == "und", "journal").otherwise(F.col("token"))), _lang_labels(s, d))),
+    "placeholder_ranks": lambda s, d: (lambda w: tfidf.placeholder_ranks(tfidf.global_terms(w[0], w[1])).select("token", "rank", F.round("score", 6).alias("score")))(_weights(s, d)),
+    "keyword_lists": lambda s, d: tfidf.first_keywords(tfidf.keyword_arrays(tfidf.top_terms(_weights(s, d)[0].withColumn("tfidf", F.round("tfidf", 6)), 20))),
+    "completed_batches": lambda s, d: vocab.completed_batches(read(s, d, "events").select((F.col("event_id") % 97).alias("batch"), F.col("event_type").alias("response"), F.col("event_id").alias("line"))),
+    "reject_merge": lambda s, d: vocab.merge_rejects(read(s, d, "events").select(F.col("user_id").alias("batch"), F.col("event_id").alias("pos"), F.col("props").alias("item"))),
+    "event_times": _event_times,
+    "mask_contacts_documents": lambda s, d: read(s, d, "documents").select("doc_id", F.sha2(text.mask_contacts(F.col("text")), 256).alias("masked_sha")),
+    "subject_prefix_documents": lambda s, d: read(s, d, "documents").select("doc_id", F.sha2(text.strip_subject_prefix(F.concat(F.lit("Re: "), F.col("text"))), 256).alias("bare_sha")),
     "proposal_merge": lambda s, d: vocab.merge_proposals(inline(s, WORDS)),
     "proposal_validate": _validate,
     "normalise_full": _normalised,
@@ -207,7 +264,7 @@ _percentile = lambda p: f"(SELECT len FROM o, s WHERE r = round_even({p} * (n -
 _digits = r"(^|[^0-9])(1[3-9][0-9][\s-]?[0-9]{4}[\s-]?[0-9]{4}|0[0-9]{2,3}[\s-]?[0-9]{7,8})($|[^0-9])"
 ORACLES = {
     "field_presence": f"WITH f AS ({_present}) SELECT field, count(*) FILTER (NOT gone) AS present, count(*) FILTER (gone) AS missing, round(avg(gone::INT), 6) AS missing_rate FROM f GROUP BY field",
-    "json_field_stats": "WITH e AS (SELECT unnest(json_keys(props)) AS field, props FROM events), v AS (SELECT field, json_extract_string(props, '$.' || field) AS value FROM e) SELECT field, CASE WHEN value IS NULL THEN 'null' WHEN regexp_full_match(value, '-?[0-9]+') THEN 'int' WHEN regexp_full_match(value, '-?[0-9]+[.][0-9]+([eE][-+]?[0-9]+)?') THEN 'float' WHEN value IN ('true', 'false') THEN 'bool' ELSE 'other' END AS kind, count(*) AS present, count(*) FILTER (trim(value) <> '') AS filled FROM v GROUP BY ALL",
+    "json_field_stats": "WITH e AS (SELECT unnest(json_keys(props)) AS field, props FROM events), v AS (SELECT field, json_type(props, '$.' || field) AS t, json_extract_string(props, '$.' || field) AS value FROM e) SELECT field, CASE t WHEN 'NULL' THEN 'null' WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'bool' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' ELSE 'float' END AS kind, count(*) AS present, count(*) FILTER (t <> 'NULL' AND trim(value) <> '') AS filled, round(count(*) / (SELECT count(*) FROM events WHERE json_type(props) = 'OBJECT'), 6) AS present_rate FROM v GROUP BY ALL",
     "concat_fields": f"SELECT doc_id, concat_ws(' | ', nullif(trim(lang), ''), nullif(trim(source), ''), nullif(regexp_replace(text, {_ws[:-2] + '+$' + chr(39)}, ''), '')) AS joined FROM documents",
     "payload_rows": f"SELECT id, coalesce(trim(subject) <> '', false) OR coalesce(trim(rep) <> '', false) AS payload FROM {INLINE}",
     "preview": f"WITH f AS (SELECT doc_id, text, trim(regexp_replace(text, {_ws}, ' ', 'g')) AS flat FROM documents) SELECT doc_id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS preview, CASE WHEN length(flat) > 80 THEN flat[1:77] || '...' ELSE flat END AS short FROM f",
@@ -235,19 +292,30 @@ ORACLES = {
     "tfidf_cluster_weights": f"{tfidf_sql(5, 0.25, 50_000, True, [*fixed.STOPWORDS, *fixed.CLUSTER_STOPWORDS])} SELECT record_id, token, tf, df, round(tfidf, 6) AS tfidf FROM v",
     "tfidf_top_terms": f"{tfidf_sql()}, r6 AS (SELECT record_id, token, round(tfidf, 6) AS score FROM v) SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, token)::INTEGER AS rank, token, score FROM r6 QUALIFY rank <= 10",
     "global_top_terms": f"{tfidf_sql()}, m AS (SELECT token, sum(tfidf) / (SELECT n FROM n) AS mean FROM v GROUP BY token ORDER BY mean DESC, token LIMIT 30) SELECT token, round(round(mean, 8), 6) AS score FROM m",
+    "placeholder_ranks": f"{tfidf_sql()}, m AS (SELECT token, sum(tfidf) / (SELECT n FROM n) AS mean FROM v GROUP BY token), g AS (SELECT token, row_number() OVER (ORDER BY mean DESC, token)::INTEGER AS rank, round(round(mean, 8), 6) AS score FROM m) SELECT p.token, rank, coalesce(score, 0.0) AS score FROM (SELECT unnest({names(fixed.PLACEHOLDERS)}) AS token) p LEFT JOIN g USING (token)",
+    "keyword_lists": f"{tfidf_sql()}, r6 AS (SELECT record_id, token, round(tfidf, 6) AS score FROM v), k5 AS (SELECT record_id, token, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, token) AS rank FROM r6 QUALIFY rank <= 5) SELECT record_id, string_agg(token, ' / ' ORDER BY rank) AS top_keywords FROM k5 GROUP BY record_id",
+    "described_samples": f"{tfidf_sql()}, r6 AS (SELECT record_id, token, round(tfidf, 6) AS score FROM v), k5 AS (SELECT record_id, token, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, token) AS rank FROM r6 QUALIFY rank <= 5), t AS (SELECT record_id, string_agg(token, ' / ' ORDER BY rank) AS top_keywords FROM k5 GROUP BY record_id), s AS (SELECT doc_id AS record_id, lang AS cluster_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id)::INTEGER AS rank FROM documents QUALIFY rank <= 10) SELECT cluster_id, rank, record_id, 0.0::DOUBLE AS distance, coalesce(text, '') AS text, coalesce(top_keywords, '') AS top_keywords FROM s LEFT JOIN t USING (record_id)",
+    "cluster_names": _names_sql(),
     "matrix_shape": f"{tfidf_sql()} SELECT (SELECT n FROM n) AS n_docs, count(*) AS nnz, count(DISTINCT token) AS n_features, round(count(*) / greatest((SELECT n FROM n) * count(DISTINCT token), 1), 8) AS density FROM v",
     "cluster_keywords": f"{tfidf_sql()}, z AS (SELECT lang AS cluster_id, count(*) AS size FROM documents GROUP BY lang), m AS (SELECT lang AS cluster_id, token, sum(tfidf) AS s FROM v JOIN documents ON doc_id = record_id GROUP BY ALL), x AS (SELECT cluster_id, token, s / size AS mean FROM m JOIN z USING (cluster_id)) SELECT cluster_id, token, round(round(mean, 8), 6) AS score FROM x QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY mean DESC, token) <= 20",
     "contingency": f"WITH {TABLE} SELECT * FROM t",
     "contingency_top": f"WITH {TABLE} SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY count DESC, category)::INTEGER AS rank FROM t QUALIFY rank <= 3",
-    "purity_spread": f"WITH {TABLE}, r AS (SELECT *, sum(count) OVER (PARTITION BY category) AS total, row_number() OVER (PARTITION BY category ORDER BY count DESC, cluster_id) AS rank FROM t), p AS (SELECT category, max(total)::BIGINT AS total, max(cluster_id) FILTER (rank = 1) AS main_cluster, round(max(count / total), 6) AS share, count(*) FILTER (count * 10 >= total) AS spread FROM r GROUP BY category) SELECT *, CASE WHEN share >= 0.6 AND spread <= 2 THEN 'aligned' WHEN share >= 0.4 THEN 'partial' ELSE 'scattered' END AS verdict FROM p",
+    "purity_spread": f"WITH {TABLE}, r AS (SELECT *, sum(count) OVER (PARTITION BY category) AS total, row_number() OVER (PARTITION BY category ORDER BY count DESC, cluster_id) AS rank FROM t), p AS (SELECT category, max(total)::BIGINT AS total, max(cluster_id) FILTER (rank = 1) AS main_cluster, round(max(count / total), 3) AS purity, count(DISTINCT cluster_id) AS spread FROM r GROUP BY category) SELECT *, CASE WHEN purity >= 0.6 AND spread <= 2 THEN 'aligned' WHEN purity >= 0.4 THEN 'partial' ELSE 'scattered' END AS verdict FROM p",
     "ari_nmi": f"""WITH {TABLE}, a AS (SELECT cluster_id, sum(count)::DOUBLE AS a FROM t GROUP BY 1), b AS (SELECT category, sum(count)::DOUBLE AS b FROM t GROUP BY 1), n AS (SELECT sum(count)::DOUBLE AS n FROM t),
  c AS (SELECT sum(count * (count - 1) / 2.0) AS sij, sum(count / n * ln(count * n / (a * b))) AS mi FROM t JOIN a USING (cluster_id) JOIN b USING (category), n), i AS (SELECT sum(a * (a - 1) / 2) AS si, -sum(a / n * ln(a / n)) AS hi FROM a, n), j AS (SELECT sum(b * (b - 1) / 2) AS sj, -sum(b / n * ln(b / n)) AS hj FROM b, n)
  SELECT round((sij - si * sj / (n * (n - 1) / 2)) / ((si + sj) / 2 - si * sj / (n * (n - 1) / 2)), 6) AS ari, round(2 * mi / (hi + hj), 6) AS nmi FROM c, i, j, n""",
     "cluster_share": f"WITH {TABLE}, s AS (SELECT cluster_id, sum(count) AS c FROM t GROUP BY 1) SELECT max(c)::BIGINT AS largest, round(max(c) / sum(c), 6) AS share FROM s",
     "review_rows": f"WITH {TOK}, {REC} SELECT tok.record_id, coalesce(category, {q(UNCLASSIFIED)}) AS current_category, len(tokens)::INTEGER AS token_count, CASE WHEN len(tokens) <= 8 THEN true WHEN len(tokens) > 12 THEN false ELSE len(list_filter(tokens, lambda t: NOT list_contains({names(fixed.PLACEHOLDERS)}, t))) <= 3 END AS short_content, least(len(tokens), 60)::INTEGER AS shown FROM tok LEFT JOIN rec USING (record_id)",
-    "batch_assign": "SELECT doc_id AS record_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / 7)::INTEGER AS batch FROM documents WHERE length(text) <= 60",
-    "policy": f"SELECT record_id, suggested_category = {q(UNCLASSIFIED)} AND NOT short_content AS downgraded, CASE WHEN suggested_category = {q(UNCLASSIFIED)} AND NOT short_content THEN '' ELSE words END AS words FROM {REVIEWS}",
-    "proposal_merge": f"WITH f AS (SELECT * FROM {WORDS} WHERE trim(word) <> '' QUALIFY row_number() OVER (PARTITION BY category, lang, word ORDER BY batch, pos) = 1) SELECT category, lang, word, row_number() OVER (PARTITION BY category, lang ORDER BY batch, pos)::INTEGER AS position FROM f",
+    "batch_assign": f"{LABELS} SELECT record_id, floor((row_number() OVER (ORDER BY record_id) - 1) / 7)::INTEGER AS batch FROM lab WHERE category = {q(UNCLASSIFIED)}",
+    "policy": f"WITH f AS (SELECT *, suggested_category = {q(fixed.KEEP_UNCLASSIFIED)} AND NOT coalesce(short_content, false) AS downgraded FROM {REVIEWS}) SELECT record_id, CASE WHEN downgraded THEN {q(UNCLASSIFIED)} ELSE suggested_category END AS suggested_category, downgraded, CASE WHEN downgraded THEN trim(coalesce(reason, '') || ' ' || {q(fixed.KEEP_WITHDRAWN)}) ELSE reason END AS reason, CASE WHEN downgraded THEN '' ELSE words END AS words FROM f",
+    "select_samples": f"{LABELS}, c AS (SELECT category, count(*) AS n FROM lab GROUP BY category) SELECT category AS reviewed, least(n, 7)::BIGINT AS count FROM c WHERE category IN ({q(fixed.ADS)}, {q(UNCLASSIFIED)}) UNION ALL SELECT category || {q(fixed.BOUNDARY_MARK)}, least(n, 3)::BIGINT FROM c WHERE category = {q(fixed.PHISH)} UNION ALL SELECT category || ' all', n::BIGINT FROM c WHERE category = {q(UNCLASSIFIED)}",
+    "completed_batches": "SELECT event_id % 97 AS batch, event_type AS response FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 97 ORDER BY event_id DESC) = 1",
+    "reject_merge": "SELECT replace(props, ' ', '') AS item, user_id AS batch, event_id AS pos FROM events QUALIFY row_number() OVER (PARTITION BY replace(props, ' ', '') ORDER BY user_id, event_id) = 1",
+    "event_times": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, NULL::VARCHAR AS none FROM events",
+    "audit_summary": f"WITH a AS (SELECT * FROM {AUDIT}), o AS (SELECT letters, count(*) AS count FROM a GROUP BY letters HAVING count(*) >= 10), n AS (SELECT letters, substring(\"right\", 1, 1) AS next, count(*) AS c FROM a GROUP BY ALL), t AS (SELECT letters, string_agg(next || ':' || c, ',' ORDER BY r) AS neighbours FROM (SELECT *, row_number() OVER (PARTITION BY letters ORDER BY c DESC, next) AS r FROM n) WHERE r <= 5 AND next <> '' GROUP BY letters), s AS (SELECT letters, string_agg(\"left\" || '<' || letters || '>' || \"right\", '|' ORDER BY r) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY letters ORDER BY record_id, \"left\", \"right\") AS r FROM a) WHERE r <= 3 GROUP BY letters) SELECT letters, count, neighbours, samples FROM o LEFT JOIN t USING (letters) LEFT JOIN s USING (letters)",
+    "mask_contacts_documents": f"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)https?://[^\\s一-鿿]+|www[.][A-Za-z0-9.-]+(?:/[^\\s一-鿿]*)?', '[URL]', 'g'), {q(fixed.EMAIL)}, '[EMAIL]', 'g'), {q(fixed.QQ)}, '[QQ]', 'g'), {q(fixed.WECHAT)}, '[WECHAT]', 'g'), '{_digits}', '\\1[PHONE]\\3', 'g'), {q(fixed.MONEY)}, '[MONEY]', 'g')) AS masked_sha FROM documents",
+    "subject_prefix_documents": "SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)^\\s*(?:(?:Re|Fwd?|FYI|答复|回复|转发)\\s*[:：]\\s*)*', ''), '\\s+$', '')) AS bare_sha FROM documents",
+    "proposal_merge": f"WITH f AS (SELECT batch, pos, category, lang, trim(word) AS word FROM {WORDS} WHERE trim(word) <> '' QUALIFY row_number() OVER (PARTITION BY category, lang, word ORDER BY batch, pos) = 1) SELECT category, lang, word, row_number() OVER (PARTITION BY category, lang ORDER BY batch, pos)::INTEGER AS position FROM f",
     "proposal_validate": f"""WITH {TOK}, {REC}, x AS (SELECT tokens, coalesce(category, {q(UNCLASSIFIED)}) AS label FROM tok LEFT JOIN rec USING (record_id)), h AS (SELECT p.category, p.lang, p.word, label FROM {_prop} LEFT JOIN x ON list_has_all(tokens, string_split(word, ' '))),
  s AS (SELECT category, lang, word, count(label) AS corpus_hits, count(*) FILTER (label NOT IN ({q(UNCLASSIFIED)}, {q(EMPTY)}) AND label <> category) AS false_positive_hits FROM h GROUP BY ALL)
  SELECT s.*, k.word IS NOT NULL AS already_in_taxonomy, corpus_hits >= 3 AND false_positive_hits <= greatest(1.0, 0.15 * corpus_hits) AS recommend FROM s LEFT JOIN {_known} ON k.category = s.category AND k.word = s.word""",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lumenmill.plans import classify, corpus
+from lumenmill.plans import classify, corpus, files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _m in (classify, corpus):
+for _m in (classify, corpus, files):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

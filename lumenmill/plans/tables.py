@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenmill.functions import fixed
-from lumenmill.functions.fixed import ACADEMIC1, ADS, ADULT, GAMBLING, PHISH
+from lumenmill.functions.fixed import ACADEMIC1, ACADEMIC2, ADS, ADULT, COMMERCIAL, GAMBLING, INVOICE, PHISH
 from lumenmill.operators.rules import SCHEME1, Scheme
 from lumenmill.operators.structural import structural_features
 from lumenmill.operators.tokens import tokens
@@ -21,8 +21,22 @@ VOCABULARY = {
 }
 
 
+#: For the second scheme.
+VOCABULARY2 = {
+    ADULT: ["scum", "loser", "worthless idiot", "que"],
+    INVOICE: ["license", "rights reserved"],
+    COMMERCIAL: ["les des", "pour dans"],
+    PHISH: ["que", "und", "ation", "les"],
+    ACADEMIC2: ["einer", "als", "mente"],
+}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer partitions than the cluster has cores (a small file is one) is dealt
+    out, others stay as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    wanted = spark.sparkContext.defaultParallelism
+    return df.repartition(wanted) if name == "documents" and df.rdd.getNumPartitions() < wanted else df
 
 
 def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +60,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens beside structural columns: what the classifier takes."""
-    features = structural_features(messages(spark, sf_dir)).withColumn("record_id", F.col("record_id").cast("long"))
-    return token_table(spark, sf_dir).drop("lang").join(features, "record_id", "left")
+    keep = {"tokens": tokens(F.col("content")), "source": F.col("fromname"), "text": F.col("content")}
+    return structural_features(messages(spark, sf_dir), keep).withColumn("record_id", F.col("record_id").cast("long"))
 
 
 # ---- SQL for DuckDB ----
@@ -82,17 +96,18 @@ STRUCT = rf"""st0 AS (
 )"""
 
 
-def hit_sql(category: str) -> str:
+def hit_sql(category: str, vocabulary: dict[str, list[str]] | None = None) -> str:
     """The list of the category's words that hit."""
-    words = names(VOCABULARY[category])
+    words = names((vocabulary or VOCABULARY)[category])
     return f"list_filter({words}, lambda w: list_has_all(tokens, string_split(w, ' ')))"
 
 
-def score_sql(scheme: Scheme = SCHEME1, weight: float | None = None, name: str = "sc") -> str:
+def score_sql(scheme: Scheme = SCHEME1, weight: float | None = None, name: str = "sc", vocabulary: dict[str, list[str]] | None = None) -> str:
     """CTE with hits h0.., the five flags and scores s0.. of the scheme's categories in order."""
     weight = scheme.phish_weight if weight is None else weight
     cats = list(scheme.ids)
-    hit = ", ".join(f"{hit_sql(c) if c in VOCABULARY else '[]::VARCHAR[]'} AS h{i}" for i, c in enumerate(cats))
+    vocabulary = vocabulary or VOCABULARY
+    hit = ", ".join(f"{hit_sql(c, vocabulary) if c in vocabulary else '[]::VARCHAR[]'} AS h{i}" for i, c in enumerate(cats))
     p = cats.index(PHISH)
     bait = names(fixed.DATING_BAIT)
     scores = ", ".join(f"strong + CASE WHEN combo_kw THEN 0.5 ELSE 0 END AS raw{i}" if i == p else f"len(h{i})::DOUBLE AS s{i}" for i, c in enumerate(cats))

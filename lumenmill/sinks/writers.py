@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 import re
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,13 +29,39 @@ def csv_parts(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("emptyValue", "").csv(path, header=True)
 
 
+def text_file(spark: SparkSession, path: str, pieces: Iterable[str], mark: bool = False) -> None:
+    """One file in any file system that Spark knows (a path without a scheme is the default one's)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        held = ["\ufeff"] if mark else []
+        size = 0
+        for piece in pieces:
+            held.append(piece)
+            size += len(piece)
+            if size > 1 << 20:
+                out.write(bytearray("".join(held).encode()))
+                held, size = [], 0
+        out.write(bytearray("".join(held).encode()))
+    finally:
+        out.close()
+
+
 def csv_file(df: DataFrame, path: str) -> None:
     """One file with header and byte order mark; rows stream through the driver."""
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
-        out = csv.writer(f)
+
+    def lines():
+        buffer = io.StringIO(newline="")
+        out = csv.writer(buffer)
         out.writerow(df.columns)
         for row in df.toLocalIterator():
             out.writerow(["" if v is None else v for v in row])
+            yield buffer.getvalue()
+            buffer.seek(0)
+            buffer.truncate()
+        yield buffer.getvalue()
+
+    text_file(df.sparkSession, path, lines(), mark=True)
 
 
 def cells(df: DataFrame) -> DataFrame:
@@ -61,15 +89,14 @@ def sheet(df: DataFrame, path: str) -> None:
     book.save(path)
 
 
-def metrics(values: dict, path: str, more: dict | None = None) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({**values, **(more or {})}, f, ensure_ascii=False, indent=2)
+def metrics(spark: SparkSession, values: dict, path: str, more: dict | None = None) -> None:
+    text_file(spark, path, [json.dumps({**values, **(more or {})}, ensure_ascii=False, indent=2)])
 
 
 def report(sections: dict[str, DataFrame], path: str) -> None:
     """A Markdown report with a table for each section."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join(markdown(df, title) for title, df in sections.items()))
+    frames = list(sections.items())
+    text_file(frames[0][1].sparkSession, path, (("\n" if i else "") + markdown(df, title) for i, (title, df) in enumerate(frames)))
 
 
 def prefixed(path: str, prefix: str = "", variant: str = "") -> str:

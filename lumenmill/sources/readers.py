@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lumenmill.functions import fixed
-from lumenmill.functions.udfs import clean_value, parse_timestamp
+from lumenmill.functions.udfs import clean_value, clean_values, parse_timestamp
 
 RAW_FIELDS = ["@timestamp", *fixed.PAYLOAD_FIELDS, "fromname", *[f for f in fixed.DROPPED_FIELDS if f != "timestamp"]]
 
@@ -26,10 +26,17 @@ def raw_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cleaned(log: DataFrame) -> DataFrame:
-    """record_id, timestamp, and the other fields, cleaned; a field that isn't text stays."""
-    good = log.filter(~F.col("bad"))
-    columns = [clean_value(F.col("fields")[f]).alias(f) for f in RAW_FIELDS if f != "@timestamp"]
-    return good.select("record_id", parse_timestamp(F.col("fields")["@timestamp"]).alias("timestamp"), *columns)
+    """record_id, timestamp, the known fields, and `more`: the fields of other names as a map. Text is
+    cleaned; values that are no text stay as their JSON."""
+    good = log.filter(~F.col("bad")).withColumn("_o", F.try_parse_json("json"))
+    good = good.withColumn("_text", F.map_filter(F.expr("cast(_o as map<string, variant>)"), lambda k, v: F.schema_of_variant(v) == "STRING"))
+    known = [f for f in RAW_FIELDS if f != "@timestamp"]
+    is_text = lambda f: F.map_contains_key("_text", f)
+    columns = [F.when(is_text(f), clean_value(F.col("fields")[f])).otherwise(F.col("fields")[f]).alias(f) for f in known]
+    others = F.map_filter("fields", lambda k, v: ~k.isin([*known, "@timestamp"]))
+    names = F.map_keys(others)
+    clean = F.map_from_arrays(names, clean_values(F.map_values(others), F.transform(names, lambda k: F.map_contains_key("_text", k))))
+    return good.select("record_id", parse_timestamp(F.col("fields")["@timestamp"]).alias("timestamp"), *columns, clean.alias("more"))
 
 
 def drop_fields(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
@@ -50,11 +57,14 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def labels_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Label file with header, a byte order mark allowed; cluster_id a number where it is one."""
+    """Label file with header, a byte order mark allowed; cluster_id is a number if all are, else
+    text as it stands."""
     df = spark.read.csv(path, header=True)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-    number = F.col("cluster_id").try_cast("int")
-    return df.withColumn("cluster_id", number) if "cluster_id" in df.columns else df
+    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+    if "cluster_id" not in df.columns:
+        return df
+    odd = df.filter(~F.coalesce("cluster_id", F.lit("0")).rlike(r"^-*\d+$"))
+    return df.withColumn("cluster_id", F.col("cluster_id").try_cast("int")) if odd.isEmpty() else df
 
 
 def labels(spark: SparkSession, folder: str, variant: str = "") -> DataFrame:

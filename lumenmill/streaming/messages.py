@@ -23,21 +23,11 @@ def labelled(messages: DataFrame, vocabulary: dict[str, list[str]], scheme: Sche
     """Messages (batch or stream) to record_id, timestamp, category, cluster_id, lang. No join
     and no shuffle: structural columns are computed beside the tokens."""
     joined = F.concat_ws(" ", "subject", "content", "doccontent")
-    base = messages.select(*FIELDS, "timestamp", tokens(normalise_native(joined)).alias("tokens"))
-    kept = {c: base[c] for c in ("tokens", "timestamp")}
-    features = structural_features_with(base, list(kept))
+    keep = {"tokens": tokens(normalise_native(joined)), "timestamp": F.col("timestamp")}
+    features = structural_features(messages, keep)
     return classify(features, vocabulary, scheme).select("record_id", "timestamp", "category", "cluster_id", "lang")
 
 
-def structural_features_with(messages: DataFrame, extra: list[str]) -> DataFrame:
-    """The structural columns and some of the message's own."""
-    packed = messages.withColumn("record_id", F.to_json(F.struct("record_id", *extra)))
-    out = structural_features(packed)
-    schema = ", ".join(f"{c} {dict(messages.dtypes)[c]}" for c in ("record_id", *extra))
-    opened = out.withColumn("_own", F.from_json("record_id", schema))
-    return opened.select(*[F.col("_own")[c].alias(c) for c in ("record_id", *extra)], *[c for c in out.columns if c != "record_id"])
-
-
 def counts_by_window(stream: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """category counts in event-time windows, with a watermark for late messages."""
     timed = stream.withColumn("ts", F.try_to_timestamp("timestamp")).withWatermark("ts", late)

@@ -63,3 +63,29 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("counted").agg({"count": "sum"}).first()[0] == 6
+
+
+def test_settings_of_a_caller():
+    import pytest
+
+    from lumenmill.operators import vocab
+
+    with pytest.raises(ValueError):
+        vocab.api_settings({})
+    assert vocab.api_settings({"OPENAI_API_KEY": " k ", "LLM_TIMEOUT": "30"}) == {"key": "k", "base_url": "https://api.openai.com/v1", "model": "gpt-4o-mini", "timeout": 30, "retries": 3}
+    assert vocab.effective_timeout(120, False, 50) == 120 and vocab.effective_timeout(120, True, 50) == 600 and vocab.effective_timeout(120, True, 5) == 300
+    assert vocab.progress(1, 4, 8) == "[##------] 1/4 25.0%" and vocab.progress(0, 0, 2) == "[##] 0/0 100.0%"
+
+
+def test_unknown_fields_and_values_of_other_types(spark, tmp_path):
+    log = tmp_path / "raw.log"
+    log.write_text('1\t{"own": " &lt;a&gt; ", "n": [1, " x "], "subject": {"a": " &lt; "}, "content": "&lt;"}\n', encoding="utf-8")
+    row = readers.cleaned(readers.raw_log(spark, str(log))).first()
+    assert row.more["own"] == "<a>" and "&lt;" in row.subject and row.content == "<" and '" x "' in row.more["n"]
+
+
+def test_summaries_in_order(spark):
+    from lumenmill.operators import vocab
+
+    rows = spark.createDataFrame([(2, "b"), (1, "a"), (3, "")], "batch int, summary string")
+    assert vocab.merge_summaries(rows) == "1: a\n2: b"
