@@ -24,13 +24,16 @@ tree whose nodes carry a quantifier.
 Wrappers go to the pages by a broadcast join while their measured size is below BROADCAST_BYTES,
 else by a shuffled join.
 
-Defined results: null html gives an empty text; a null or odd url is a host of its own; unclosed
+Defined results: null html gives an empty text; elements nested more than 200 deep count as inside
+the 200th; a tag whose quotes are not closed ends at the next >, one that never ends is text; a null or odd url is a host of its own; unclosed
 elements, comments and scripts end where HTML lets them; a page without any content node gives an
 empty text. Block elements (cells and list items too) make lines; ``<br>`` is white space.
 """
 
 from __future__ import annotations
 
+import bisect
+import collections
 import functools
 import hashlib
 import html as htmllib
@@ -45,6 +48,7 @@ from lumenmill.llm import textkit
 from lumenmill.llm.common import parts, prepare, stage, table
 
 BROADCAST_BYTES = 32 << 20
+_HELD = 16 << 20  # characters of shapes in a task; their trees take some ten times that
 SALTS = 16
 
 # Names of HTML elements and words of class and id attributes.
@@ -61,7 +65,10 @@ CLOSES = {  # a start tag of the key ends an open element of the value
 }
 SCOPES = frozenset("ul ol dl table article section div td th body html main aside nav header footer form blockquote".split())
 
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?:{RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*(?<=[\s"'\w])/>|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>?|([^<]+|<)""", re.S | re.I)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)|<!--|<[!?/]")
+_STOP = re.compile("[>\"']")
+_RAW_TAG = re.compile(rf"(?:{RAW})\Z", re.I)
+_DEPTH = 200  # elements nested deeper are read as if they were inside the last one of these
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -79,6 +86,73 @@ def _says_drop(name: str) -> bool:
     return not words.isdisjoint(DROP_WORDS) and words <= DROP_WORDS | PLAIN_WORDS
 
 
+def _tag_end(page: str, at: int, quotes: dict[str, int]) -> int:
+    """Where the > of a tag is that begins before `at`: not inside quotes that are closed; -1 if there
+    is none. quotes: from where on a quote is known not to be found, so that a page is read once."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = m.end()
+        if quotes.get(m[0], len(page)) <= at:
+            return page.find(">", at)
+        close = page.find(m[0], at)
+        if close < 0:
+            quotes[m[0]] = at
+            return page.find(">", at)
+        at = close + 1
+    return -1
+
+
+def tokens(page: str):
+    """(text, closing, name, attributes) of the page: text alone, or a tag. Comments, declarations and
+    raw elements with their content are passed over; what is not closed runs to the end, a tag that
+    never ends is text."""
+    at, n, quotes, gone, ended = 0, len(page), {}, {}, False
+    lower = None
+    while at < n:
+        begin = page.find("<", at)
+        if begin != at:
+            yield page[at : begin if begin >= 0 else n], None, None, None
+            if begin < 0:
+                return
+            at = begin
+        m = _OPEN.match(page, at)
+        if m is None:
+            yield "<", None, None, None
+            at += 1
+        elif m[2] is None:
+            close = page.find("-->" if m[0] == "<!--" else ">", m.end())
+            at = n if close < 0 else close + (3 if m[0] == "<!--" else 1)
+        else:
+            close = -1 if ended else _tag_end(page, m.end(), quotes)
+            if close < 0:
+                ended = ended or page.find(">", at) < 0
+                yield "<", None, None, None
+                at += 1
+                continue
+            attributes = page[m.end() : close]
+            at = close + 1
+            if not m[1] and _RAW_TAG.match(m[2]):
+                if attributes.endswith("/") and (len(attributes) == 1 or attributes[-2] in " \t\r\n\f\"'" or attributes[-2].isalnum()):
+                    continue
+                name = m[2].lower()
+                if name not in gone:
+                    lower = page.lower() if lower is None else lower
+                    end = lower.find("</" + name, at) if len(lower) == n else -1
+                    if len(lower) != n:
+                        found = re.compile("</" + name, re.I).search(page, at)
+                        end = found.start() if found else -1
+                    while end >= 0 and page[end + 2 + len(name) : end + 3 + len(name)] not in ("", ">", " ", "\t", "\n", "\r", "\f", "/"):
+                        end = (lower.find("</" + name, end + 1)) if len(lower) == n else -1
+                    if end >= 0:
+                        close = page.find(">", end)
+                        at = n if close < 0 else close + 1
+                        continue
+                    gone[name] = True
+                return
+            yield None, m[1], m[2], attributes
+
+
 def parse(page: str) -> list:
     """The page's tree: nodes are [label, children], leaves are [None, text, link characters]."""
     root = ["", []]
@@ -102,19 +176,15 @@ def parse(page: str) -> list:
         in_link = hidden = 0
         hides.clear()
 
-    for m in _TOKEN.finditer(page):
-        text = m[5]
+    for text, closing, name, attributes in tokens(page):
         if text is not None:
             if not hidden:
                 inline.append(text)
                 if in_link:
                     linked += len(text)
             continue
-        name = m[3]
-        if name is None:
-            continue
         name = name.lower()
-        if m[2]:
+        if closing:
             if name in BLOCK:
                 for i in range(len(names) - 1, 0, -1):
                     if names[i] == name:
@@ -128,7 +198,6 @@ def parse(page: str) -> list:
                 hides.pop()
                 hidden = len(hides)
             continue
-        attributes = m[4]
         words = ""
         if "=" in attributes and _NAMES.search(attributes):
             words = ".".join(sorted({w for a in _NAMES.findall(attributes) for w in map(_name, a.strip("\"'").split()) if w}))
@@ -152,9 +221,13 @@ def parse(page: str) -> list:
                         break
             node = [f"{name}.{words}" if words else name, []]
             stack[-1][1].append(node)
-            if name != "hr":
+            if name != "hr" and len(stack) < _DEPTH:
                 stack.append(node)
                 names.append(name)
+            elif name != "hr":
+                stack.append(stack[-1])
+                names.append(name)
+                stack[-2][1].pop()
         elif name in VOID:
             if name in ("br", "wbr", "img"):
                 inline.append(" " if name == "br" else "")
@@ -194,6 +267,8 @@ def align(a: list, b: list, times=int.__add__) -> list:
     if [x[0] for x in a] == [x[0] for x in b]:
         return [_merge(x, y, times) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
+    if n * m > _CELLS:
+        return _fold(_long(a, b, times))
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -212,6 +287,56 @@ def align(a: list, b: list, times=int.__add__) -> list:
     return _fold(out)
 
 
+_CELLS = 250_000
+
+
+def _long(a: list, b: list, times) -> list:
+    """Long lists: equal ends are matched first; what is between by labels found once in both, in the
+    order of both, and the stretches between those alike."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head][0] == b[head][0]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail][0] == b[-1 - tail][0]:
+        tail += 1
+    out = [_merge(x, y, times) for x, y in zip(a[:head], b[:head], strict=True)]
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not x or not y or len(x) * len(y) <= _CELLS:
+        out += align(x, y, times) if x and y else [_optional(z) for z in x + y]
+    else:
+        once = [{k: i for i, k in enumerate(z) if counted[k] == 1} for z in ([v[0] for v in x], [v[0] for v in y]) for counted in [collections.Counter(z)]]
+        pairs = sorted((i, once[1][k]) for k, i in once[0].items() if k in once[1])
+        chain = _rising(pairs)
+        if not chain:  # nothing to hold on to: halves against halves
+            chain, cut = [], [(len(x) // 2, len(y) // 2), (len(x), len(y))]
+        else:
+            cut = [*chain, (len(x), len(y))]
+        i = j = 0
+        for p, q in cut:
+            out += align(x[i:p], y[j:q], times) if x[i:p] and y[j:q] else [_optional(z) for z in x[i:p] + y[j:q]]
+            if (p, q) in chain:
+                out.append(_merge(x[p], y[q], times))
+                p, q = p + 1, q + 1
+            i, j = p, q
+    return out + [_merge(x, y, times) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)]
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest chain of pairs that rise in both places; pairs are sorted."""
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(pairs)
+    for k, (_, j) in enumerate(pairs):
+        at = bisect.bisect_left(ends, j)
+        before[k] = last[at - 1] if at else -1
+        ends[at : at + 1], last[at : at + 1] = [j], [k]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
 def _fold(nodes: list) -> list:
     """Adjacent equals and adjacent equal groups of two or three become repeats."""
     out: list = []
@@ -354,15 +479,17 @@ class Roles:
 def _shapes(batches):
     """Pages of a task, folded by host and shape."""
     seen: dict[tuple[str, str], list] = {}
+    held = 0
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             node = wrap(parse(page or ""))
             key = (host, shape(node))
             old = seen.get(key)
             seen[key] = [node, 1] if old is None else [_merge(old[0], node), old[1] + 1]
-        if len(seen) > 20_000:
-            yield _rows(seen)
-            seen = {}
+            held += len(key[1]) if old is None else 0
+            if held > _HELD:
+                yield _rows(seen)
+                seen, held = {}, 0
     if seen:
         yield _rows(seen)
 

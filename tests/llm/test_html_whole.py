@@ -74,3 +74,23 @@ def test_names_that_only_contain_a_drop_word_lose_nothing(spark):
     }
     got = texts(spark, [(i, f"http://h{i}.example/", page) for i, page in enumerate(pages)])
     assert [got[i] for i in range(len(pages))] == list(pages.values())
+
+
+def test_odd_pages_take_linear_time():
+    """Open quotes, open tags, raw elements and deep nesting, and long unlike lists."""
+    import json
+    import time
+
+    began = time.time()
+    for page in ('<a "' * 16_000, "<p x='" * 50_000, "<" * 100_000, "<script>" * 20_000, "<!--" * 50_000, "<div>" * 5_000 + "<p>some text</p>" + "</div>" * 5_000):
+        node = html_extract.wrap(html_extract.parse(page))
+        assert json.loads(json.dumps(node)) == node and html_extract.shape(node)
+    deep = "<div>" * 1_200 + "<p>some text</p><p>more</p>" + "</div>" * 1_200 + "<p>last</p>"
+    assert html_extract.Roles(html_extract.wrap(html_extract.parse(deep)), 1).text(html_extract.parse(deep)) == "some text\nmore\nlast"
+    a = [[f"p{i % 7}", "1", []] for i in range(3_000)]
+    b = [[f"p{i % 5}", "1", []] for i in range(3_000)]
+    both = html_extract.align(a, b)
+    assert {x[0] for x in both} == {f"p{i}" for i in range(7)}
+    shifted = html_extract.align([[f"p{i}", "1", []] for i in range(2_000)], [[f"p{i}", "1", []] for i in range(1_000, 3_000)])
+    assert [x[0] for x in shifted] == [f"p{i}" for i in range(3_000)] and [x[1] for x in shifted] == ["?"] * 1_000 + ["1"] * 1_000 + ["?"] * 1_000
+    assert time.time() - began < 60
