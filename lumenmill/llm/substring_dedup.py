@@ -189,9 +189,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     living = _alive(classes, ["part"], "level-0")
     columns = ["class", "weight", "s1", "s2", "text", "at"]
     keys = stage(living.join(classes.select("class", "weight", "key", "c", "s1", "s2"), "class"), "substring-keys")
-    now = source.select("key", "text").join(keys.filter("weight = 1"), "key").select(*columns)  # one row each
-    copies = join_counted(source.select("key", "text"), keys.filter("weight > 1").select("key", "c", "class"), ["key"], total).select("class", "text").distinct()
-    now = now.unionByName(copies.join(keys.drop("key", "c"), "class").select(*columns))
+    joined = join_counted(source.select("key", "text"), keys, ["key"], total)  # one row for each class of weight one
+    copies = joined.filter("weight > 1").select("class", "text").distinct().join(keys.drop("key", "c"), "class")
+    now = joined.filter("weight = 1").select(*columns).unionByName(copies.select(*columns))
     schema = "class long, weight long, s1 long, s2 long, text string, part array<long>, second array<long>, at array<int>"
     for i, (before, length) in enumerate(zip(levels[:-1], levels[1:], strict=True), 1):
         level = stage(now.mapInArrow(_next_level(window, before, length), schema), "substring-texts")
