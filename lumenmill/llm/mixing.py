@@ -10,8 +10,8 @@ Target weights are given by source, or taken as n_s ** ALPHA / sum (ALPHA below
 sources). Only DataFrame functions run. Counting is one small aggregation; the distribution's
 values are worked out once for each source and joined by source (AQE may split the join).
 
-Defined results: a null source is a source of its own; rates above 700 are refused (the
-distribution's first value would vanish); a null id draws as the empty text; rows repeated with
+Defined results: a null source is a source of its own; rates above MOST are refused (the
+table of the distribution would be too long); a null id draws as the empty text; rows repeated with
 their id draw alike; a source absent from given weights has weight 0; an empty table stays so.
 """
 
@@ -24,6 +24,7 @@ from lumenmill.llm.common import parts, prepare, stage, table
 
 ALPHA = 0.7
 SEED = 20
+MOST = 20_000
 DIGITS = 13  # hex digits of a hash that make a uniform number
 
 
@@ -38,19 +39,18 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: dict[str,
     rows, weight = weighed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
     rate = F.round(F.col("weight") / float(weight) * float(rows) * float(total) / F.col("n"), 9) if weight else F.lit(0.0)
     rated = weighed.select("source", "n", rate.alias("rate"))
-    return rated.withColumn("rate", F.when(F.col("rate") <= 700, F.col("rate")).otherwise(F.raise_error(F.lit("a repetition rate is above 700"))))
+    return rated.withColumn("rate", F.when(F.col("rate") <= MOST, F.col("rate")).otherwise(F.raise_error(F.lit(f"a repetition rate is above {MOST}"))))
 
 
 def _with_steps(rates: DataFrame) -> DataFrame:
     """Adds cdf: P(X <= k) for k = 0, 1, ... far beyond any draw."""
     last = (F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
-    zero = F.struct(F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
-
-    def step(acc, k):
-        p = acc["p"] * F.col("rate") / k
-        return F.struct(p.alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + p)).alias("cdf"))
-
-    return rates.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), last), zero, step)["cdf"])
+    first = F.sequence(F.lit(0), last)
+    # logarithms of k!, then of the probabilities: they don't vanish however large the rate
+    logs = F.aggregate(F.slice(first, 2, F.size(first)), F.array(F.lit(0.0)), lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + F.log(k.cast("double")))))
+    chance = F.zip_with(first, logs, lambda k, g: F.when(F.col("rate") == 0, (k == 0).cast("double")).otherwise(F.exp(k * F.log(F.col("rate")) - F.col("rate") - g)))
+    sums = F.aggregate(chance, F.array(F.lit(0.0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + p)))
+    return rates.withColumn("cdf", F.slice(sums, 2, F.size(sums) - 1))
 
 
 def _uniform(id_col: str, seed: int):

@@ -216,6 +216,8 @@ def test_mixing(spark):
     assert abs(per[5] / 300 - math.exp(-rate) * rate**5 / math.factorial(5)) < 0.07
     once = sorted((r.doc_id, r._copy) for r in out.collect())
     assert once == sorted((r.doc_id, r._copy) for r in mixing.mix(docs, weights={"big": 0.5, "small": 0.5}).collect())
+    large = mixing.mix(table(spark, [(i, "t", "en", "one" if i == 7 else "many") for i in range(5000)]), weights={"one": 0.5, "many": 0.5})
+    assert abs(large.filter("source = 'one'").count() - 2500) < 300  # a rate at which e**-rate vanishes
     assert mixing.mix(table(spark, [])).count() == 0
     assert mixing.mix(table(spark, [(None, None, None, None)] * 5)).columns[0] == "doc_id"
 
