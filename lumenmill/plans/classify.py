@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenmill.functions import fixed
+from lumenmill.functions import fixed, text
 from lumenmill.functions.fixed import PHISH, UNCLASSIFIED
 from lumenmill.operators import rules, structural, themes, tokens
 from lumenmill.operators.rules import SCHEME1, SCHEME2
-from lumenmill.plans.tables import BASE, COMBOS, LABELS, MSG, STRUCT, TOK, VOCABULARY, VOCABULARY2, best_sql, hit_sql, label_sql, messages, names, q, score_sql, scored_input, token_table
+from lumenmill.plans.tables import BASE, COMBOS, KEPT, LABELS, MSG, STRUCT, TOK, VOCABULARY, VOCABULARY2, best_sql, hit_sql, label_sql, messages, names, q, read, score_sql, scored_input, token_table
 
 CATS = list(SCHEME1.ids)
 CATS2 = list(SCHEME2.ids)
@@ -126,7 +126,17 @@ def _top_hits_sql(k: int = 20) -> str:
     return f"{LABELS}, f AS ({flat}), c AS (SELECT category, token, count(*) AS count FROM f GROUP BY ALL) SELECT category, token, count, row_number() OVER (PARTITION BY category ORDER BY count DESC, token)::INTEGER AS rank FROM c QUALIFY rank <= {k}"
 
 
+def _segmented(spark, sf):
+    """Tokens of the segmenter that needs no library, placeholders kept whole, then normalised and
+    filtered as the native ones are."""
+    docs = read(spark, sf, "documents")
+    cut = tokens.segmented(tokens.LongestMatch(tokens.default_lexicon()))
+    raw = docs.select(F.col("doc_id").alias("record_id"), cut(text.mask_email(F.col("text"))).alias("raw"))
+    return raw.select("record_id", F.size("raw").alias("n"), F.array_join(F.filter(F.transform("raw", lambda t: tokens.normal(t)), lambda t: tokens.kept(t)), " ").alias("tokens"))
+
+
 QUERIES = {
+    "segmented_tokens": _segmented,
     "token_filter": lambda s, d: token_table(s, d).select("record_id", _flat()),
     "token_stats": lambda s, d: tokens.token_stats(token_table(s, d)),
     "token_buckets": lambda s, d: token_table(s, d).groupBy(tokens.length_bucket(F.size("tokens")).alias("bucket")).agg(F.count(F.lit(1)).alias("count")),
@@ -162,7 +172,9 @@ _h = [hit_sql(c) for c in CATS]
 _p, _a = CATS.index(PHISH), CATS.index(fixed.ADULT)
 _roll = "(VALUES " + ", ".join(f"({q(g)}, {q(m)}, {q(t)})" for g, ms in fixed.ROLL_UPS.items() for m, ts in ms.items() for t in ts) + ") AS r(grouping, macro, theme)"
 _words = "(VALUES " + ", ".join(f"({q(c)}, {i}, {q(w)})" for c, ws in VOCABULARY.items() for i, w in enumerate(ws)) + ") AS v(category, word_pos, word)"
+_cut = rf"regexp_extract_all(regexp_replace(coalesce(text, ''), {q(fixed.EMAIL)}, '[EMAIL]', 'g'), '{fixed.PLACEHOLDER}|[A-Za-z]+|[一-鿿]+|[^\s\x0B\x85\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}A-Za-z一-鿿\[]+|\[')"
 ORACLES = {
+    "segmented_tokens": f"WITH r AS (SELECT doc_id AS record_id, {_cut} AS raw FROM documents) SELECT record_id, len(list_filter(raw, lambda t: true))::INTEGER AS n, array_to_string(list_filter(list_transform(raw, lambda t: CASE WHEN regexp_full_match(t, '[A-Za-z]+') THEN lower(t) ELSE t END), lambda t: {KEPT}), ' ') AS tokens FROM r",
     "token_filter": f"WITH {TOK} SELECT record_id, array_to_string(tokens, ' ') AS tokens FROM tok",
     "token_stats": f"WITH {TOK} SELECT count(*) AS records, sum(len(tokens))::BIGINT AS tokens, count(*) FILTER (len(tokens) = 0) AS empty, " + ", ".join(f"sum(len(list_filter(tokens, lambda t: t = {q(x)})))::BIGINT AS {x.strip('[]').lower()}" for x in fixed.PLACEHOLDERS) + " FROM tok",
     "token_buckets": f"WITH {TOK} SELECT CASE WHEN len(tokens) <= 5 THEN '<=5' WHEN len(tokens) <= 10 THEN '6-10' WHEN len(tokens) <= 30 THEN '11-30' WHEN len(tokens) <= 999 THEN '>30' END AS bucket, count(*) AS count FROM tok GROUP BY 1",

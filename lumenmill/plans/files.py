@@ -129,6 +129,15 @@ def _outputs(s, d):
     return readers.labels(s, at, "v1").select(F.col("record_id").cast("long").alias("record_id"), F.col("cluster_id").cast("int").alias("cluster_id"), "category").join(submitted, "record_id")
 
 
+def _ordered(s, d):
+    """The export's order as lines of one file: line, record_id."""
+    at = f"{folder(s)}/export.csv"
+    labelled = export.attach_labels(_documents(s, d), _record_labels(s, d))
+    writers.csv_file(export.order_for_export(labelled, [fixed.ADS, fixed.ADULT]).select("record_id"), at)
+    lines = s.read.csv(at, header=True).coalesce(1).select(F.monotonically_increasing_id().alias("line"), "*")
+    return lines.toDF("line", "record_id").select("line", F.col("record_id").cast("long").alias("record_id"))
+
+
 def _metrics(s, d):
     at = f"{folder(s)}/metrics.json"
     row = rules.distribution(_record_labels(s, d)).orderBy("category").collect()
@@ -166,7 +175,7 @@ def _stream(s, d):
 
 QUERIES = {
     "file_json_lines": _json_lines, "file_strict_lines": _strict_lines, "file_labels_csv": _csv, "file_labels_text": _csv_text, "file_raw_log": _raw, "file_raw_counts": _raw_counts, "file_last_wins": _last_wins,
-    "file_configuration": _configured, "file_matrix": _matrix, "file_features": _features, "file_report": _report, "file_report_rows": _long_report, "file_outputs": _outputs, "file_metrics": _metrics, "file_sheet": _sheet,
+    "file_configuration": _configured, "file_matrix": _matrix, "file_features": _features, "file_report": _report, "file_report_rows": _long_report, "file_outputs": _outputs, "file_metrics": _metrics, "file_ordered": _ordered, "file_sheet": _sheet,
     "projected_fields": _projected, "stream_labels": _stream,
 }
 
@@ -186,6 +195,7 @@ ORACLES = {
     "file_report": f"WITH {REC} SELECT unnest(['# labels', '| category | count | pct |', '|---|---|---|', '# lengths', '| n | min | max |', '|---|---|---|']) AS line UNION ALL {_label_lines} UNION ALL SELECT '| ' || count(*) || ' | ' || min(length(text)) || ' | ' || max(length(text)) || ' |' FROM documents",
     "file_report_rows": "SELECT doc_id FROM documents",
     "file_outputs": f"{LABELS} SELECT record_id, cluster_id, category, cluster_id AS submitted FROM lab",
+    "file_ordered": f"WITH {REC} SELECT row_number() OVER (ORDER BY CASE category WHEN {q(fixed.ADS)} THEN 0 WHEN {q(fixed.ADULT)} THEN 1 ELSE 2 END, doc_id::VARCHAR) - 1 AS line, doc_id AS record_id FROM documents LEFT JOIN rec ON doc_id = record_id",
     "file_metrics": f"WITH {REC} SELECT category AS name, count(*) AS value FROM rec GROUP BY category UNION ALL SELECT 'total', count(*) FROM rec",
     "file_sheet": """SELECT doc_id, lang || substring(source, 1, 3) AS cell, '["' || lang || '","' || source || '"]' AS list FROM documents""",
     "projected_fields": "SELECT doc_id, lang, source, n_chars, lang || '/' || source AS joined, lang || '/' || source AS alone FROM documents",
