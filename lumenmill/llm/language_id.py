@@ -105,9 +105,6 @@ class Model:
     def __init__(self, languages: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, limits: np.ndarray):
         self.languages, self.idf, self.centroids, self.owner, self.limits = languages, idf, centroids, owner, limits
 
-    def vectors(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(np.log1p(counts) * self.idf)
-
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language index (-1: none), score, rejected."""
         has = _has_letter(data, offsets)
@@ -141,8 +138,9 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     centroids = x[picked]
     for _ in range(10):
         own = (x @ centroids.T).argmax(axis=1)
-        sums = np.stack([x[own == j].sum(axis=0) if (own == j).any() else centroids[j] for j in range(len(centroids))])
-        centroids = _unit(sums)
+        member = (own == np.arange(len(centroids))[:, None]).astype(np.float32)
+        sums = member @ x  # no copy of the rows is made
+        centroids = _unit(np.where(member.any(axis=1)[:, None], sums, centroids))
     return centroids
 
 
@@ -158,7 +156,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     picked = rows.filter(draw < rate[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     got = picked.mapInArrow(_sparse, "lang string, slots array<short>, counts array<float>").limit(2 * sample * len(languages)).toArrow()
     labels = np.array(got.column("lang").to_pylist(), dtype=object)
-    sparse = [(x.values.to_numpy(zero_copy_only=False).astype(np.int64), y.values.to_numpy(zero_copy_only=False)) for x, y in zip(got.column("slots"), got.column("counts"), strict=True)]
+    sparse = [(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)) for x, y in zip(got.column("slots"), got.column("counts"), strict=True)]
     order = np.lexsort((np.array([(x + 1.0) @ y for x, y in sparse]), labels.astype(str)))
     seen = np.zeros(DIM, np.int64)
     for slots, _ in sparse:
@@ -170,9 +168,10 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         picked_rows = [k for k in order if labels[k] == lang and len(sparse[k][0])]
         own = np.zeros((len(picked_rows), DIM), np.float32)
         for k, row in enumerate(picked_rows):
-            own[k, sparse[row][0]] = sparse[row][1]
-        share = np.minimum(1, (own.sum(axis=1) / 3 + 2) / FULL)  # a text of n bytes has 3 n - 6 grams
-        own = model.vectors(own)
+            slots, values = sparse[row]
+            values = np.log1p(values) * idf[slots]
+            own[k, slots] = values / max(float(np.linalg.norm(values)), 1e-12)
+        share = np.minimum(1, (np.array([sparse[row][1].sum() for row in picked_rows]) / 3 + 2) / FULL)  # a text of n bytes has 3 n - 6 grams
         if len(own):
             parts.append(_cluster(own, CENTROIDS))
             owner += [i] * len(parts[-1])
