@@ -199,7 +199,8 @@ def contamination(labels: DataFrame, vocabulary: dict[str, list[str]], scheme: S
 def noise_words(labels: DataFrame, vocabulary: dict[str, list[str]], scheme: Scheme, k: int = 30) -> DataFrame:
     """rank, word, count: the only adult word of adult rows that structure calls phishing."""
     some = _evidence(labels.filter(F.col("category") == ADULT), vocabulary, scheme)
-    one = some.filter((F.size(F.element_at("hits", ADULT)) == 1) & F.col("structure")).select(F.element_at("hits", ADULT)[0].alias("word"))
+    only = F.when((F.size(F.element_at("hits", ADULT)) == 1) & F.col("structure"), F.element_at("hits", ADULT)[0])
+    one = settled(some, "word", only).filter("word is not null").select("word")
     counted = one.groupBy("word").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "word").limit(k)
     return counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "word"))).select("rank", "word", "count")
 
@@ -209,7 +210,7 @@ def stolen_phishing(labels: DataFrame, vocabulary: dict[str, list[str]], scheme:
     as of any category, that another label won."""
     some = _evidence(labels, vocabulary, scheme)
     n = {c: F.size(F.element_at("hits", c)) for c in scheme.ids}
-    lost = some.filter((n[PHISH] >= 2) & (n[PHISH] == F.greatest(*n.values())) & (F.col("category") != PHISH))
+    lost = settled(some, "_lost", (n[PHISH] >= 2) & (n[PHISH] == F.greatest(*n.values())) & (F.col("category") != PHISH)).filter("_lost")
     place = F.row_number().over(Window.partitionBy("category").orderBy("record_id"))
     ranked = lost.select("category", "record_id", place.alias("r"))
     first = F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= k, F.struct("r", F.col("record_id").cast("string").alias("id"))))), lambda x: x["id"])

@@ -155,7 +155,7 @@ QUERIES = {
     "weight_what_if": lambda s, d: rules.what_if(scored_input(s, d), VOCABULARY2, SCHEME2, CONFIGS),
     "contamination": lambda s, d: rules.contamination(_labels2(s, d), VOCABULARY2, SCHEME2),
     "noise_words": lambda s, d: rules.noise_words(_labels2(s, d), VOCABULARY2, SCHEME2),
-    "stolen_phishing": lambda s, d: rules.stolen_phishing(_labels2(s, d), VOCABULARY2, SCHEME2),
+    "stolen_phishing": lambda s, d: rules.stolen_phishing(rules.classify(scored_input(s, d), VOCABULARY2, SCHEME2, 0.5), VOCABULARY2, SCHEME2),
     "force_audit": lambda s, d: rules.force_audit(_forced(s, d)),
     "taxonomy_words": lambda s, d: rules.vocabulary_frame(s, VOCABULARY).select("category", "word").distinct().join(rules.keyword_hits(token_table(s, d), rules.vocabulary_frame(s, VOCABULARY)).groupBy("category", "word").agg(F.count_distinct("record_id").alias("rows")), ["category", "word"], "left").fillna(0),
     "force_labels": lambda s, d: _forced(s, d).select("record_id", F.col("category").alias("previous_category"), "forced_category", "method"),
@@ -193,7 +193,7 @@ ORACLES = {
     "weight_what_if": _what_if_sql(),
     "contamination": _contamination_sql(),
     "noise_words": f"{EVIDENCE}, w AS (SELECT h{CATS2.index(fixed.ADULT)}[1] AS word FROM e WHERE category = {q(fixed.ADULT)} AND len(h{CATS2.index(fixed.ADULT)}) = 1 AND structure) SELECT row_number() OVER (ORDER BY count(*) DESC, word)::INTEGER AS rank, word, count(*) AS count FROM w GROUP BY word QUALIFY rank <= 30",
-    "stolen_phishing": f"{EVIDENCE}, l AS (SELECT category, record_id, row_number() OVER (PARTITION BY category ORDER BY record_id) AS r FROM e WHERE category <> {q(PHISH)} AND len(h{CATS2.index(PHISH)}) >= 2 AND len(h{CATS2.index(PHISH)}) = greatest({', '.join(f'len(h{i})' for i in range(len(CATS2)))})) SELECT category, count(*) AS count, string_agg(record_id::VARCHAR, ',' ORDER BY r) FILTER (r <= 3) AS examples FROM l GROUP BY category",
+    "stolen_phishing": f"{BASE}, {score_sql(SCHEME2, 0.5, 'ev', VOCABULARY2)}, {label_sql(SCHEME2, 0.5, None, 'lab', 'ev')}, l AS (SELECT category, record_id, row_number() OVER (PARTITION BY category ORDER BY record_id) AS r FROM lab WHERE category <> {q(PHISH)} AND len(h{CATS2.index(PHISH)}) >= 2 AND len(h{CATS2.index(PHISH)}) = greatest({', '.join(f'len(h{i})' for i in range(len(CATS2)))})) SELECT category, count(*) AS count, string_agg(record_id::VARCHAR, ',' ORDER BY r) FILTER (r <= 3) AS examples FROM l GROUP BY category",
     "force_audit": f"{_force_sql()} SELECT record_id, previous_category, forced_category AS category, (CASE forced_category {' '.join(f'WHEN {q(c)} THEN {i}' for c, i in SCHEME1.ids.items())} END)::INTEGER AS cluster_id, method, token_count, text_preview FROM forced JOIN (SELECT record_id, len(tokens)::INTEGER AS token_count, coalesce(text, '')[1:200] AS text_preview FROM tok) USING (record_id) WHERE method IS NOT NULL",
     "taxonomy_words": f"WITH {TOK}, v AS (SELECT DISTINCT category, word FROM {_words}) SELECT category, word, count(record_id) AS rows FROM v LEFT JOIN tok ON list_has_all(tokens, string_split(word, ' ')) GROUP BY ALL",
     "force_labels": f"{_force_sql()} SELECT * FROM forced",
