@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Normalizer
@@ -20,14 +21,16 @@ def sparse_rows(weights: DataFrame, index: DataFrame) -> DataFrame:
     """(record_id, features) from the long form and (token, idx)."""
     size = index.count()
     cells = weights.join(index, "token").groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("idx", "tfidf"))).alias("cells"))
-    pack = F.udf(lambda cells: SparseVector(size, [c[0] for c in cells], [c[1] for c in cells]), VectorUDT())
-    return cells.select("record_id", pack("cells").alias("features"))
+    pack = F.udf(lambda idx, weights: SparseVector(size, idx, weights), VectorUDT())
+    return cells.select("record_id", pack("cells.idx", "cells.tfidf").alias("features"))
 
 
 def reduce_dimensions(rows: DataFrame, components: int) -> DataFrame:
-    """Truncated SVD without centring, then unit length: (record_id, features)."""
-    numbered = rows.rdd.zipWithIndex().cache()
+    """Truncated SVD without centring, then unit length: (record_id, features). The solver multiplies
+    by the matrix hundreds of times, so its rows are kept as the JVM has them: Python makes them once."""
+    numbered = rows.rdd.zipWithIndex().persist(StorageLevel.MEMORY_AND_DISK)
     matrix = IndexedRowMatrix(numbered.map(lambda r: IndexedRow(r[1], OldVectors.fromML(r[0]["features"]))))
+    matrix._java_matrix_wrapper._java_model.rows().persist(rows.sparkSession._jvm.org.apache.spark.storage.StorageLevel.MEMORY_AND_DISK())
     k = max(1, min(components, matrix.numCols() - 1, matrix.numRows()))
     svd = matrix.computeSVD(k, computeU=True)
     s = svd.s.toArray()

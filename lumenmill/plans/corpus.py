@@ -98,7 +98,7 @@ def _kmeans_metrics(spark, sf):
 
 def _svd_kmeans(spark, sf):
     weights, _ = _weights(spark, sf, **CLUSTER_PARAMS, max_features=50_000)
-    weights = weights.persist()
+    weights = weights.select("record_id", "token", "tfidf").persist()
     rows = cluster.sparse_rows(weights, tfidf.vocabulary(weights))
     clustered, _ = cluster.kmeans(cluster.reduce_dimensions(rows, 100), 5)
     return cluster.suggest_names(cluster.cluster_keywords(weights, clustered.select("record_id", "cluster_id")))
