@@ -51,15 +51,15 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return bad.isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """edges (a, b), long: every node with an edge that is not its component's smallest, as
     (child, parent): parent is the smallest node reachable. Nothing is collected; each round is
-    written to the shared folder."""
+    written to the shared folder, into `most` files at most."""
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent"))
     local = pairs.repartition(parts(edges.sparkSession), "parent").mapInArrow(_local_union_find, "child long, parent long")
-    now = stage(local.distinct(), "components")
+    now = stage(local.distinct(), "components", most)
     while not _is_star_forest(now):
         then = now
-        now = stage(_small_star(_large_star(then)).filter("child <> parent").distinct(), "components")
+        now = stage(_small_star(_large_star(then)).filter("child <> parent").distinct(), "components", most)
         discard(then)
     return now

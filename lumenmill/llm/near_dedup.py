@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenmill.llm import textkit
-from lumenmill.llm.common import discard, join_counted, parts, prepare, stage, table
+from lumenmill.llm.common import discard, files, join_counted, parts, prepare, stage, table
 from lumenmill.llm.graph import components
 
 SHINGLE = 5
@@ -97,7 +97,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 def _sign(batches):
     for whole in batches:
         for batch in textkit.blocks(whole, "text"):
-            flat, firsts = shingle_sets(*textkit.text_buffer(batch.column("text")))
+            data, offsets = textkit.text_buffer(batch.column("text"))
+            flat, firsts = shingle_sets(data, offsets)
             sizes = np.diff(firsts)
             prints = []
             for salt in (0, 0x5851F42D4C957F2D):
@@ -106,7 +107,10 @@ def _sign(batches):
                 prints.append(textkit.signed(textkit.mix(sums[firsts[1:]] - sums[firsts[:-1]])))
             keys = textkit.signed(band_keys(super_minhash(flat, firsts)))
             keys = textkit.ragged(pa.array(keys.reshape(-1)), np.arange(len(sizes) + 1) * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(sizes.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), keys], ["id", "key", "n", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("key"), pa.array(np.diff(offsets)), pa.array(sizes.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), keys],
+                ["id", "key", "size", "n", "f1", "f2", "bands"],
+            )
 
 
 def _confirm(batches):
@@ -129,14 +133,14 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
 
 
-def _open_buckets(buckets: DataFrame, forest: DataFrame) -> DataFrame:
+def _open_buckets(buckets: DataFrame, forest: DataFrame, most: int) -> DataFrame:
     """(bucket, class_id, root, c) of buckets of c members that still hold more than one
     component; of buckets with the same members one."""
     grouped = buckets.select("bucket", "class_id").join(forest.toDF("class_id", "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
     sums = [F.sum(F.xxhash64("class_id", F.lit(i)).cast("decimal(38,0)")) for i in (1, 2)]
     mixed = grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("c"), *[x.alias(f"f{i}") for i, x in enumerate(sums)]).filter("low <> high")
     once = mixed.groupBy("c", "f0", "f1").agg(F.min("bucket").alias("bucket")).select("bucket", "c")
-    return stage(grouped.join(once, "bucket"), "near-open")
+    return stage(grouped.join(once, "bucket"), "near-open", most)
 
 
 def _in_blocks(opened: DataFrame, texts: DataFrame) -> DataFrame:
@@ -217,46 +221,48 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per row of docs: the id, n_shingles, component_id, kept, class_id (a number of the
     texts with the same set, null without one)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    signed = stage(source.mapInArrow(_sign, "id long, key long, n long, f1 long, f2 long, bands array<long>"), "near-signatures")
-    total = signed.count()
+    signed = stage(source.mapInArrow(_sign, "id long, key long, size long, n long, f1 long, f2 long, bands array<long>"), "near-signatures")
+    total, size = signed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    spark = docs.sparkSession
+    by_row, by_band, by_text = files(spark, total), files(spark, total * BANDS), files(spark, total, size)
 
     same = ["n", "f1", "f2"]
     groups = signed.filter("n > 0").groupBy(*same)
     classes = groups.agg(F.min("id").alias("least"), F.min("key").alias("key"), F.count(F.lit(1)).alias("c"), F.first("bands").alias("bands"))
-    classes = stage(classes.select(F.monotonically_increasing_id().alias("class_id"), *same, "least", "key", "c", "bands"), "near-classes")
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("class_id"), *same, "least", "key", "c", "bands"), "near-classes", by_row)
 
     entries = classes.select("class_id", F.explode(F.array_distinct("bands")).alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("class_id").alias("pivot")).filter("c > 1")
-    shared = stage(shared, "near-shared")
+    shared = stage(shared, "near-shared", by_band)
     buckets = join_counted(entries, shared, ["bucket"], total * BANDS)
-    buckets = stage(buckets.select("bucket", "class_id", "pivot"), "near-buckets")
-    candidates = stage(classes.join(buckets.select("class_id").distinct(), "class_id").select("class_id", "key", "c"), "near-candidates")
+    buckets = stage(buckets.select("bucket", "class_id", "pivot"), "near-buckets", by_band)
+    candidates = stage(classes.join(buckets.select("class_id").distinct(), "class_id").select("class_id", "key", "c"), "near-candidates", by_row)
     texts = join_counted(source.select("key", "text"), candidates, ["key"], total).select("class_id", "text").distinct()
-    texts = stage(texts, "near-texts")
+    texts = stage(texts, "near-texts", by_text)
 
-    pairs = stage(buckets.filter("class_id <> pivot").select(F.col("pivot").alias("a"), F.col("class_id").alias("b")).distinct(), "near-pairs")
-    links = stage(_linked(pairs, texts), "near-links")
-    forest = components(links)
-    opened = _open_buckets(buckets, forest)
+    pairs = stage(buckets.filter("class_id <> pivot").select(F.col("pivot").alias("a"), F.col("class_id").alias("b")).distinct(), "near-pairs", by_band)
+    forest = components(_linked(pairs, texts), by_row)
+    opened = _open_buckets(buckets, forest, by_band)
     if not opened.isEmpty():
         few = opened.filter(F.col("c") <= SMALL_BUCKET).select("bucket", "class_id", "root")
         other = few.toDF("bucket", "b", "rb")
         more = few.toDF("bucket", "a", "ra").join(other, "bucket").filter("a < b and ra <> rb").select("a", "b").distinct()
-        more = stage(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+        more = stage(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs", by_band)
         blocks = _in_blocks(opened.filter(F.col("c") > SMALL_BUCKET), texts)
-        links = stage(links.union(_linked(more, texts)).union(blocks.mapInArrow(_block_links, "a long, b long")), "near-links")
-        forest = components(links)
+        # the forest stands for the links it was made of
+        links = forest.toDF("a", "b").union(_linked(more, texts)).union(blocks.mapInArrow(_block_links, "a long, b long"))
+        forest = components(links, by_row)
         discard(more)
 
     # the smallest id of each component, whatever number its smallest class has
     rooted = classes.select("class_id", *same, "least", "c").join(forest.toDF("class_id", "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = stage(rooted.join(smallest, "root").select(*same, "c", "class_id", "component_id"), "near-components")
+    found = stage(rooted.join(smallest, "root").select(*same, "c", "class_id", "component_id"), "near-components", by_row)
     columns = ["id", "n", "class_id", "component_id"]
     out = join_counted(signed.filter("n > 0").select("id", *same), found, same, total).select(*columns)
     out = out.unionByName(signed.filter("n = 0").select("id", "n", F.lit(None).cast("long").alias("class_id"), F.col("id").alias("component_id")))
     discard(pairs, texts, buckets, shared, candidates, opened)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
+    return out.coalesce(by_row).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
 
 
 def op6_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
