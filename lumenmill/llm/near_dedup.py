@@ -41,6 +41,8 @@ REGISTERS = BANDS * ROWS
 PERCENT = 75
 #: Buckets up to this size are compared pair by pair; larger ones in blocks of BLOCK members.
 SMALL_BUCKET, BLOCK = 4, 512
+#: Bytes of text whose sets a task holds at once.
+BLOCK_BYTES = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +98,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 def _sign(batches):
     for whole in batches:
-        for batch in textkit.blocks(whole, "text"):
+        for batch in textkit.blocks(whole, "text", BLOCK_BYTES):
             data, offsets = textkit.text_buffer(batch.column("text"))
             flat, firsts = shingle_sets(data, offsets)
             sizes = np.diff(firsts)
@@ -116,7 +118,7 @@ def _sign(batches):
 def _confirm(batches):
     """Pairs (a, b, ta, tb) to those whose full sets are similar enough."""
     for whole in batches:
-        for batch in textkit.blocks(whole, "ta", 2 << 20):
+        for batch in textkit.blocks(whole, "ta", BLOCK_BYTES):
             fa, ia = shingle_sets(*textkit.text_buffer(batch.column("ta")))
             fb, ib = shingle_sets(*textkit.text_buffer(batch.column("tb")))
             keep = []

@@ -42,7 +42,9 @@ from lumenmill.llm.common import prepare, table
 MODEL = os.path.join(os.environ.get("LUMENMILL_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
 MEMO = 400_000
 LONG = 40
-BLOCK_BYTES = 4 << 20
+#: Bytes of text and keys of a table that are worked on at once: a byte of text takes some 60 of arrays.
+BLOCK_BYTES = 1 << 20
+SLICE = 1 << 16
 SPACE = "▁"
 _FAR = 1 << 30
 
@@ -96,6 +98,8 @@ class Table:
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values, -1 for keys that aren't there."""
+        if len(keys) > SLICE:
+            return np.concatenate([self.get(keys[i : i + SLICE]) for i in range(0, len(keys), SLICE)])
         at = self._slots(keys)
         there = self.keys[at]
         out = np.where(there == keys, self.values[at], np.int32(-1))
@@ -408,9 +412,11 @@ class Transducer:
         data, offsets = textkit.text_buffer(texts)
         raw = data.tobytes()
         points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
-        symbols = self.symbols(points).astype(np.int64)
+        symbols = self.symbols(points)
         cut = np.ones(len(points), bool)
-        cut[1:] = self.pairs.get(symbols[:-1] * self.n + symbols[1:]) < 0
+        for i in range(1, len(points), SLICE):
+            there = symbols[i - 1 : i + SLICE].astype(np.int64)
+            cut[i : i + SLICE] = self.pairs.get(there[:-1] * self.n + there[1:]) < 0
         places = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])
         cut[np.searchsorted(places, offsets[offsets < len(data)])] = True
         if self._finds:
