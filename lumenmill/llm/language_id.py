@@ -35,8 +35,8 @@ CENTROIDS = 4
 REJECT, QUANTILE = 0.5, 0.01
 #: Bytes from which the whole limit holds.
 FULL = 64
-#: Texts whose counts are held at once.
-ROWS = 128
+#: Texts whose counts are held at once, and of them those that are counted at once.
+ROWS, COUNTED = 128, 16
 
 _CLASS = np.arange(256, dtype=np.uint32)
 _CLASS[:128] = 32
@@ -54,7 +54,7 @@ def gram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return out
     at = 0
     while at < n:
-        to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 20), side="right")) - 1))
+        to = min(n, at + COUNTED, max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 20), side="right")) - 1))
         part, ends = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at, first = to, at
         if not len(part):
@@ -144,6 +144,31 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     return centroids
 
 
+def _fit_language(sparse: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> tuple[np.ndarray, float]:
+    """Centroids and limit from the slots and counts of a language's rows, whose vectors are dense
+    in the slots that any of them has."""
+    seen = np.zeros(DIM, bool)
+    for slots, _ in sparse:
+        seen[slots] = True
+    used = np.flatnonzero(seen)
+    place = np.cumsum(seen) - 1
+    own = np.zeros((len(sparse), len(used)), np.float32)
+    for k, (slots, values) in enumerate(sparse):
+        values = np.log1p(values) * idf[slots]
+        own[k, place[slots]] = values / max(float(np.linalg.norm(values)), 1e-12)
+    if not len(own):
+        return np.zeros((0, DIM), np.float32), 0.0
+    found, limit = _cluster(own, CENTROIDS), 0.0
+    if len(own) > 1:
+        share = np.minimum(1, (np.array([values.sum() for _, values in sparse]) / 3 + 2) / FULL)  # a text of n bytes has 3 n - 6 grams
+        halves = own[::2], own[1::2]
+        cosines = np.concatenate([(y @ _cluster(x, CENTROIDS).T).max(axis=1) for x, y in (halves, halves[::-1])])
+        limit = REJECT * max(0.0, float(np.quantile(cosines / np.concatenate([share[1::2], share[::2]]), QUANTILE)))
+    centroids = np.zeros((len(found), DIM), np.float32)
+    centroids[:, used] = found
+    return centroids, limit
+
+
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Fit on about `sample` rows of each language, drawn by a hash of the id."""
     rows = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -165,20 +190,11 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     model = Model(languages, idf, np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(len(languages)))
     parts, owner = [], []
     for i, lang in enumerate(languages):  # one at a time: dense vectors of one language are held
-        picked_rows = [k for k in order if labels[k] == lang and len(sparse[k][0])]
-        own = np.zeros((len(picked_rows), DIM), np.float32)
-        for k, row in enumerate(picked_rows):
-            slots, values = sparse[row]
-            values = np.log1p(values) * idf[slots]
-            own[k, slots] = values / max(float(np.linalg.norm(values)), 1e-12)
-        share = np.minimum(1, (np.array([sparse[row][1].sum() for row in picked_rows]) / 3 + 2) / FULL)  # a text of n bytes has 3 n - 6 grams
-        if len(own):
-            parts.append(_cluster(own, CENTROIDS))
-            owner += [i] * len(parts[-1])
-        if len(own) > 1:
-            halves = own[::2], own[1::2]
-            cosines = np.concatenate([(y @ _cluster(x, CENTROIDS).T).max(axis=1) for x, y in (halves, halves[::-1])])
-            model.limits[i] = REJECT * max(0.0, float(np.quantile(cosines / np.concatenate([share[1::2], share[::2]]), QUANTILE)))
+        centroids, limit = _fit_language([sparse[k] for k in order if labels[k] == lang and len(sparse[k][0])], idf)
+        if len(centroids):
+            parts.append(centroids)
+            owner += [i] * len(centroids)
+        model.limits[i] = limit
     model.centroids, model.owner = (np.concatenate(parts), np.array(owner)) if parts else (model.centroids, model.owner)
     if not parts:
         model.languages = []

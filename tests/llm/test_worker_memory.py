@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from lumenmill.llm import near_dedup
+from lumenmill.llm import language_id, near_dedup, textkit
 from lumenmill.llm import sentencepiece_fst as spm
 
 FST = spm.load()
@@ -39,6 +39,25 @@ def test_signing_holds_a_block():
     assert peak_of(near_dedup._sign, batch_of(60, 12_000, ["id", "key", "text"])) < 46
 
 
+def test_counting_holds_few_texts():
+    buffer = textkit.text_buffer(batch_of(language_id.ROWS, 100, ["id", "text"]).column("text"))
+
+    def run(_):
+        yield language_id.gram_counts(*buffer)
+
+    assert peak_of(run, batch_of(2, 2, ["id", "text"])) < 45
+
+
+def test_counts_do_not_depend_on_parts(monkeypatch):
+    made = batch_of(40, 300, ["id", "text"]).column("text").to_pylist()
+    data, offsets = textkit.text_buffer(pa.array([*made[:20], "", "é", None, *made[20:], ""]))
+    got = []
+    for most in (1 << 20, 16, 1):
+        monkeypatch.setattr(language_id, "COUNTED", most, raising=False)
+        got.append(language_id.gram_counts(data, offsets))
+    assert len(got[0]) == 44 and (got[0] == got[1]).all() and (got[0] == got[2]).all()
+
+
 def test_rows_do_not_depend_on_blocks(monkeypatch):
     batch, texts = batch_of(40, 700, ["id", "text"]), ["", "日本 " * 900, "a" * 5000, "  x▁y \n" * 800]
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(44)), pa.array(batch.column("text").to_pylist() + texts)], ["id", "text"])
